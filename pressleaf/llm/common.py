@@ -66,6 +66,13 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def _slices(batch: pa.RecordBatch, most: int = 8 << 20):
+    """Parts of a batch of about `most` bytes, so that what is made of one stays small."""
+    step = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def annotate(
     df: DataFrame,
     fields: list[T.StructField],
@@ -80,7 +87,7 @@ def annotate(
     names = [f.name for f in kept]
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             made = of_batch(batch)
             columns = [batch.column(n) for n in names]
             for f in fields:
