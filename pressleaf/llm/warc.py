@@ -213,3 +213,19 @@ def query(spark, sf_dir: str) -> DataFrame:
         F.col("headers")["warc-type"].alias("record_type"),
         _page("warc-refers-to").alias("refers_to"),
     )
+
+
+#: The base32 letters of a SHA-1: eight groups of five hex digits, four letters each.
+SQL = f"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), k AS (
+  SELECT h, max(page_id) AS kept FROM p GROUP BY h
+)
+SELECT p.page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('{ALPHABET}',
+    CAST((CAST('0x' || substr(p.h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN kept IS NOT DISTINCT FROM p.page_id OR kept IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN kept IS NOT DISTINCT FROM p.page_id OR kept IS NULL THEN NULL ELSE kept END AS refers_to
+FROM p JOIN k ON p.h = k.h
+"""
