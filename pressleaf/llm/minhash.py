@@ -170,11 +170,6 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def marks(sig: np.ndarray) -> np.ndarray:
-    """One byte for each slot; equal slots have equal bytes."""
-    return (mix(sig) >> _U(56)).astype(np.uint8)
-
-
 def node_of(shingles: np.ndarray) -> int:
     """A 64-bit name of a set."""
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)

@@ -2,10 +2,9 @@
 
 Texts with the same set are one node, so exact copies never meet in a bucket. Nodes of a bucket are first linked to the
 bucket's centre, each link confirmed on the full sets (intersection * 100 >= union * 75); groups of the confirmed links
-are joined by large and small stars. A bucket whose nodes then still belong to several groups is compared exhaustively
-between its groups, in cells of bounded size, by signature estimates (a floor that a true link misses with a chance
-below 1e-9); what passes is confirmed on the full sets too. So the work within a group of near copies is linear in its
-size, and no link that banding finds is lost.
+are joined by large and small stars. The nodes of a bucket that then still belong to several groups are compared
+exactly, with their full sets in cells of bounded size, and only links that join groups leave a cell. So the work within
+a group of near copies is linear in its size, no pairs are listed, and no link that banding finds is lost.
 
 With 32 bands of 4 slots a pair at a similarity of exactly 0.75 is missed with a chance of 5e-6.
 
@@ -28,9 +27,7 @@ from pressleaf.llm.common import annotate, chunks, cut, table
 from pressleaf.llm.components import components
 
 #: Bytes of text hashed at once in a task, and nodes of one side of a cell.
-CHUNK, CELL = 2 << 20, 1024
-#: Share of equal slots below which a pair of one bucket is dropped unverified (6.5 deviations below 0.75).
-FLOOR = 0.5
+CHUNK, CELL = 2 << 20, 512
 
 
 def _raw(text: str | None) -> bytes:
@@ -38,12 +35,11 @@ def _raw(text: str | None) -> bytes:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (null for an empty set), bands and marks of every document."""
+    """doc_id, n_shingles, node (null for an empty set) and bands of every document."""
     fields = [
         T.StructField("n_shingles", T.LongType()),
         T.StructField("node", T.LongType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
-        T.StructField("marks", T.BinaryType()),
     ]
 
     def of_batch(batch: pa.RecordBatch) -> dict:
@@ -52,12 +48,11 @@ def features(docs: DataFrame) -> DataFrame:
         for a, b in chunks([len(r) for r in raw], CHUNK):
             sets = minhash.shingle_sets(raw[a:b])
             sig = minhash.signatures(sets)
-            keys, marks = minhash.band_keys(sig), minhash.marks(sig)
+            keys = minhash.band_keys(sig)
             for i, s in enumerate(sets):
                 out["n_shingles"].append(len(s))
                 out["node"].append(minhash.node_of(s) if len(s) else None)
                 out["bands"].append(keys[i] if len(s) else None)
-                out["marks"].append(marks[i].tobytes() if len(s) else None)
         return out
 
     return annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fields, of_batch, drop=("text",))
@@ -73,9 +68,8 @@ def _sizes_allow(x: str, y: str):
     return F.expr(f"100 * least({x}, {y}) >= 75 * greatest({x}, {y})")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
-    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+def shingles_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and shingles (its whole set) of the wanted nodes, from their representatives' texts."""
     reps = cut(wanted.join(nodes, "node").select("rep").distinct(), "neardup-reps")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = source.join(reps, source["doc_id"].eqNullSafe(reps["rep"]), "left_semi").select("text")
@@ -90,10 +84,15 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 out["shingles"].append(s.tobytes())
         return out
 
-    # repeated rows of a text give its set once
     sets = cut(annotate(texts, fields, of_batch, drop=("text",)), "neardup-sets")
-    if sets.count() > reps.count():
-        sets = sets.dropDuplicates(["node"])
+    # repeated rows of a text give its set once
+    return sets if sets.count() <= reps.count() else sets.dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose full sets are similar enough."""
+    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    sets = shingles_of(wanted, nodes, docs)
 
     def confirm(batches):
         last, held = None, None
@@ -114,37 +113,64 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return both.mapInArrow(confirm, "u bigint, v bigint")
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """(u, v) of one bucket but different groups, by size and signature estimate; cells of CELL x CELL nodes.
+def cell_links(sets: list[np.ndarray], component: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the cell's groups as far as any similar pair of a left and a right node joins them.
 
-    members: key, node, size, component, marks, n (nodes of the bucket).
+    Intersections are counted exactly, a node at a time, from the lists of the nodes that hold each shingle; pairs that
+    belong together already need no link, so there are fewer links than nodes.
+    """
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(n), size)
+    holders = owner[np.argsort(code, kind="stable")]
+    count = np.bincount(code)
+    first = np.cumsum(count) - count
+    begin = np.cumsum(size) - size
+    group = np.unique(component, return_inverse=True)[1]
+    links = []
+    for i in range(n):
+        other = (left if right[i] else np.zeros(n, bool)) | (right if left[i] else np.zeros(n, bool))
+        other = other & (group != group[i]) & (np.arange(n) > i)
+        other &= 100 * np.minimum(size, size[i]) >= 75 * np.maximum(size, size[i])
+        if not other.any():
+            continue
+        mine = code[begin[i] : begin[i] + size[i]]
+        lens = count[mine]
+        places = np.repeat(first[mine] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+        common = np.bincount(holders[places], minlength=n)
+        for j in np.flatnonzero(other & (100 * common >= 75 * (size + size[i] - common))).tolist():
+            if group[j] != group[i]:
+                links.append((i, j))
+                group[group == group[j]] = group[i]
+    return links
+
+
+def _cells(members: DataFrame) -> DataFrame:
+    """(u, v) links between groups of one bucket, found in cells of CELL x CELL nodes.
+
+    members: key, node, component, shingles, n (nodes of the bucket).
     """
     parts = F.ceil(F.col("n") / CELL)
     mine = F.pmod(F.xxhash64("node"), parts)
     dealt = members.withColumn("mine", mine.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
     cells = dealt.select(
-        "key", F.least("mine", "other").alias("row"), F.greatest("mine", "other").alias("col"), "mine", "node", "size", "component", "marks"
+        "key", F.least("mine", "other").alias("row"), F.greatest("mine", "other").alias("col"), "mine", "node", "component", "shingles"
     )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        row, col = int(group["row"].iloc[0]), int(group["col"].iloc[0])
-        node, size = group["node"].to_numpy(np.int64), group["size"].to_numpy(np.int64)
-        comp, mine = group["component"].to_numpy(np.int64), group["mine"].to_numpy()
-        marks = np.frombuffer(b"".join(group["marks"]), np.uint8).reshape(len(group), -1)
-        left, right = np.flatnonzero(mine == row), np.flatnonzero(mine == col)
-        us, vs = [], []
-        for i in left.tolist():
-            other = right[right > i] if row == col else right
-            other = other[comp[other] != comp[i]]
-            low, high = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
-            other = other[100 * low >= 75 * high]
-            if len(other):
-                other = other[(marks[other] == marks[i]).mean(1) >= FLOOR]
-                us += [node[i]] * len(other)
-                vs += node[other].tolist()
-        return pd.DataFrame({"u": np.minimum(us, vs).astype(np.int64), "v": np.maximum(us, vs).astype(np.int64)})
-
-    return cells.groupBy("key", "row", "col").applyInPandas(compare, "u bigint, v bigint").distinct()
+        mine = group["mine"].to_numpy()
+        node = group["node"].to_numpy(np.int64)
+        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+        left, right = mine == group["row"].iloc[0], mine == group["col"].iloc[0]
+        found = cell_links(sets, group["component"].to_numpy(np.int64), left, right)
+        return pd.DataFrame({"u": node[[i for i, _ in found]], "v": node[[j for _, j in found]]})
+
+    return cells.groupBy("key", "row", "col").applyInPandas(compare, "u bigint, v bigint")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -165,28 +191,21 @@ def groups(docs: DataFrame) -> DataFrame:
     )
     members = cut(rows.join(buckets, "key"), "neardup-members")
     star = members.where(_sizes_allow("size", "centre_size") & (F.col("node") != F.col("centre")))
-    pairs = cut(star.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct(), "neardup-pairs")
+    star = cut(star.select("node", "centre").distinct(), "neardup-star")
+    pairs = cut(_ordered(star.select(F.col("node").alias("u"), F.col("centre").alias("v"))), "neardup-pairs")
     links = cut(verified(pairs, nodes, docs), "neardup-links")
     joined = cut(components(links), "neardup-components")
 
     # buckets of several groups; where there were two nodes only, their one pair is settled
-    open_rows = (
-        members.where("n > 2")
-        .join(joined, "node", "left")
-        .select("key", "node", "size", "n", F.coalesce("component", "node").alias("component"))
-    )
-    several = cut(
-        open_rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"),
-        "neardup-open",
+    rows = (
+        members.where("n > 2").join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     )
-    open_rows = open_rows.join(several, "key", "left_semi")
-    marked = one.select("node", "marks")
-    open_nodes = cut(open_rows, "neardup-open-rows")
-    crossing = _cross_pairs(open_nodes.join(marked, "node"))
-    more = cut(crossing.join(pairs, ["u", "v"], "left_anti"), "neardup-crossing")
-    if more.head(1):
-        links = links.unionByName(verified(more, nodes, docs))
-        joined = cut(components(links), "neardup-components")
+    several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    opened = cut(rows.join(several.select("key"), "key", "left_semi"), "neardup-open")
+    if opened.head(1):
+        sets = shingles_of(opened.select("node").distinct(), nodes, docs)
+        more = cut(_ordered(_cells(opened.join(sets, "node"))), "neardup-crossing")
+        joined = cut(components(links.unionByName(more)), "neardup-components")
 
     named = nodes.join(joined, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = cut(named.groupBy("component").agg(F.min("rep").alias("component_id")), "neardup-least")
