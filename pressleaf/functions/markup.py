@@ -38,8 +38,8 @@ LINK_TYPES = ("alternate", "dns-prefetch", "preload", "stylesheet", "icon", "app
 FAVICONS = ("icon", "shortcut icon")
 # The frame of an MHTML file.
 MHTML_HEAD = (
-    'From: <Saved by pressleaf>\r\nMIME-Version: 1.0\r\nContent-Type: multipart/related; type="text/html"; boundary="----=_NextPart_000_0000"\r\n\r\n'
-    '------=_NextPart_000_0000\r\nContent-Type: text/html; charset="utf-8"\r\nContent-Transfer-Encoding: 8bit\r\nContent-Location: http://example.com/\r\n\r\n'
+    'MIME-Version: 1.0\r\nContent-Type: multipart/related; boundary="----=_NextPart_000_0000"\r\n\r\n'
+    '------=_NextPart_000_0000\r\nContent-Type: text/html; charset="utf-8"\r\nContent-Location: http://example.com/\r\n\r\n'
 )
 MHTML_TAIL = "\r\n------=_NextPart_000_0000--\r\n"
 #: Flag, and what it adds to the content security policy, in this order.

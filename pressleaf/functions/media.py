@@ -129,7 +129,7 @@ def is_plaintext_col(media_type: Column) -> Column:
 
 def content_type_col(value: Column) -> Column:
     """STRUCT<media_type, charset, is_base64>."""
-    items = F.transform(F.split(value, ";"), F.trim)
+    items = F.transform(F.split(value, ";"), lambda x: F.trim(x))
     sets = F.filter(F.slice(items, 2, 1 << 20), lambda x: x.startswith("charset="))
     return F.struct(
         F.coalesce(F.nullif(F.element_at(items, 1), F.lit("")), F.lit("text/plain")).alias("media_type"),

@@ -121,7 +121,7 @@ class _Walk:
             if stated and not markup.integrity_holds(got.data, stated):
                 return
         if name == "link" and "stylesheet" in markup.link_types(node.get("rel") or ""):
-            text = embed_css(self.s, got.final_url, media.decode(got.data, got.charset))
+            text = embed_css(self.s, got.final_url, media.decode(got.data, got.charset), 0, (urls.clean(full),))
             node.set(attr, urls.data_url(got.media_type, got.charset, text.encode(), got.final_url))
         elif name in ("frame", "iframe"):
             if self.depth >= self.o.max_depth or urls.clean(full) in self.above:
@@ -373,8 +373,8 @@ def rewrite_page(html: str | bytes, url: str | None, lookup: Lookup, options: Op
     if not options.no_metadata and url:
         made = markup.metadata_comment(url, options.timestamp) + "\n" + made
     if options.output_format == "mhtml":
-        made = markup.mhtml(made)
-    elif not made.endswith("\n"):
+        return media.encode(markup.mhtml(made), charset if isinstance(html, bytes) or options.encoding else "utf-8"), title, session.log
+    if not made.endswith("\n"):
         made += "\n"
     return media.encode(made, charset if isinstance(html, bytes) or options.encoding else "utf-8"), title, session.log
 
@@ -458,7 +458,6 @@ def needed_assets(pages: DataFrame, assets: DataFrame, options: Options | None =
 def bundle(pages: DataFrame, assets: DataFrame | None = None, options: Options | None = None) -> DataFrame:
     """page_id, url, title, content, error of every page; an error of a page stays in its row."""
     options = options or Options()
-    spark = pages.sparkSession
     source = pages.select("page_id", "url", "html")
     if assets is None:
         source = source.withColumn("assets", F.lit(None).cast("array<struct<url_key:string,final_url:string,media_type:string,charset:string,data:binary>>"))
@@ -470,7 +469,6 @@ def bundle(pages: DataFrame, assets: DataFrame | None = None, options: Options |
             F.collect_list(F.struct("url_key", "a.final_url", "a.media_type", "a.charset", "a.data")).alias("assets")
         )
         source = source.join(lists, "page_id", "left")
-    del spark
 
     def run(batches):
         for batch in batches:
