@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressleaf.llm.common import scratch, table
+from pressleaf.llm.common import cut, scratch, table
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 SEPARATOR = "\r\n\r\n"
 RECORD = "urn:pressleaf:page:"
+#: Slots of the filter that tells repeated payloads from single ones before any text is shuffled.
+SLOTS = 1 << 20
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 
@@ -52,10 +54,16 @@ def records(pages: DataFrame, date: str = "2025-01-01T00:00:00Z") -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     # only payloads that occur more than once need a partner; their digests alone are grouped
-    repeated = (
-        base.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("kept")).where("n > 1").select("digest", "kept")
+    repeated = cut(
+        base.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("kept")).where("n > 1").select("digest", "kept"),
+        "warc-repeated",
     )
-    paired = base.join(repeated, "digest", "left")
+    # a page whose slot no repeated payload has is surely single and needn't be shuffled; SLOTS numbers at most
+    slot = F.pmod(F.xxhash64("digest"), F.lit(SLOTS)).cast("int")
+    slots = F.broadcast(repeated.select(slot.alias("slot")).distinct())
+    marked = base.withColumn("slot", slot)
+    single = marked.join(slots, "slot", "left_anti").withColumn("kept", F.lit(None).cast("long"))
+    paired = single.unionByName(marked.join(slots, "slot", "left_semi").join(repeated, "digest", "left"))
     revisit = F.col("kept").isNotNull() & ~F.col("kept").eqNullSafe(F.col("page_id"))
     length = F.octet_length(F.col("html").cast("binary"))
     head = _http(length)
