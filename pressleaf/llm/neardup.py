@@ -205,7 +205,9 @@ def groups(docs: DataFrame) -> DataFrame:
     if opened.head(1):
         sets = shingles_of(opened.select("node").distinct(), nodes, docs)
         more = cut(_ordered(_cells(opened.join(sets, "node"))), "neardup-crossing")
-        joined = cut(components(links.unionByName(more)), "neardup-components")
+        # the groups so far are stars already, so few rounds are left
+        stars = joined.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+        joined = cut(components(stars.unionByName(more)), "neardup-components")
 
     named = nodes.join(joined, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = cut(named.groupBy("component").agg(F.min("rep").alias("component_id")), "neardup-least")
