@@ -8,8 +8,9 @@ completed, and the subtrees beside that path enter the queue with Gumbels trunca
 come out distinct and in order of their perturbed values. With the value that follows the last emitted one as threshold,
 every sample carries its inclusion score 1 - exp(-exp(log p - threshold)).
 
-No piece crosses the start of a run of word marks, a line end, or a letter before a mark of punctuation (checked against
-the vocabulary when it is loaded), so the lattice is a chain of small lattices that are built once each and remembered.
+No piece crosses the start of a run of word marks, a line end, or the place between a letter and a mark of punctuation
+(checked against the vocabulary when it is loaded), so the lattice is a chain of small lattices, one for each unit between
+such places, that are built once each and remembered.
 
 Random numbers are a hash of the seed, the row's key, the sample and the place, so results don't depend on partitions.
 
@@ -23,7 +24,6 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,9 @@ from pressleaf.llm.minhash import mix
 MARK = "▁"
 #: Characters of text sampled at once in a task; lattices that a worker remembers, and the longest such unit.
 CHUNK, REMEMBERED, LONGEST = 1 << 21, 250_000, 48
-_PUNCTUATION = ".,;:!?"
+#: Samples of a text at most.
+MOST = 16
+_PUNCTUATION, _LETTER = ".,;:!?", r"[^\W\d_]"
 _U = np.uint64
 _GOLD, _STEP, _PLACE = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95), _U(0xA0761D6478BD642F)
 
@@ -61,7 +63,17 @@ class Vocabulary:
         if any(b == MARK and a != MARK for a, b in pairs) or any("\n" in x for x in pairs):
             raise ValueError("pieces cross word marks or line ends")
         self._trie()
-        self.stops = {c for c in _PUNCTUATION if not any(b == c and a.isalpha() for a, b in pairs)}
+        letter = re.compile(_LETTER).match
+        stops = "".join(c for c in _PUNCTUATION if not any(b == c and letter(a) for a, b in pairs))
+        self.units = self._units(stops)
+
+    def _units(self, stops: str):
+        """The function that splits a text into units; `stops` begin one wherever they follow a letter."""
+        if not stops:
+            return re.compile(f"{MARK}+[^{MARK}\n]*|\n+|[^{MARK}\n]+").findall
+        run = f"[^{MARK}\n{stops}]*"
+        rest = f"{run}(?:(?<!{_LETTER})[{stops}]+{run})*"
+        return re.compile(f"{MARK}+{rest}|\n+|[^{MARK}\n]{rest}").findall
 
     def _trie(self) -> None:
         """Transitions (state and code point -> state) as sorted keys; the piece of each state, -1 for none."""
@@ -94,9 +106,7 @@ class Lattices:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.split = re.compile(f"{MARK}+[^{MARK}\n]*|\n+|[^{MARK}\n]+").findall
         self.unit: dict[str, int] = {}  # start node
-        self.words: dict[str, tuple[int, ...]] = {}
         self.bytes: list[tuple[int, ...]] = []
         self.nodes = self.edges = 0
         self.first = np.zeros(1 << 20, np.int64)  # first edge of a node; ends have none
@@ -187,7 +197,7 @@ class Lattices:
             piece.append(np.array([self._bytes(c) for c in chars], np.int32))
             worth.append(np.array([v.byte_weight * len(c.encode("utf-8", "surrogatepass")) for c in chars]))
         src, dst, piece, worth = map(np.concatenate, (src, dst, piece, worth))
-        order = np.lexsort((dst, src))
+        order = np.argsort(src * (v.longest + 1) + dst - src, kind="stable")  # runs that are sorted already
         src, dst, piece, worth = src[order], dst[order], piece[order], worth[order]
         first = np.searchsorted(src, np.arange(n + 1))
         # backwards, all places that are equally far from their unit's end together
@@ -207,7 +217,12 @@ class Lattices:
             worth[e] = x
             beta[nodes] = np.log(np.add.reduceat(np.exp(x), offset))
         logp = np.minimum(0.0, worth - beta[src])
-        order = np.lexsort((-logp, src))  # the likeliest edge of a node first
+        # the likeliest edge of a node first
+        likeliest = np.flatnonzero(logp == np.maximum.reduceat(logp, first[:-1])[src])
+        likeliest = likeliest[np.unique(src[likeliest], return_index=True)[1]]
+        place = 2 * src + 1
+        place[likeliest] -= 1
+        order = np.argsort(place, kind="stable")
         logp, piece, dst, ended = logp[order], piece[order], dst[order], ended[order]
         p = np.exp(logp)
         total = np.cumsum(p)
@@ -224,35 +239,25 @@ class Lattices:
         self.unit.update(zip(units, starts, strict=True))
         self.nodes, self.edges = base + n, e0 + len(src)
 
-    def _parts(self, word: str) -> tuple[str, ...]:
-        for i in range(len(word) - 1, 0, -1):
-            if word[i] in self.v.stops and word[i - 1].isalpha():
-                return word[:i], word[i:]
-        return (word,)
-
     def starts(self, texts: list[str | None]) -> list[np.ndarray]:
         """Start nodes of each text's units."""
-        split = [self.split(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        known = self.words
-        new = set().union(*split).difference(known)
-        parts = {w: self._parts(w) for w in new}
-        fresh = sorted({p for ps in parts.values() for p in ps if p not in self.unit})
-        short = [p for p in fresh if len(p) <= LONGEST]
+        split = [self.v.units(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        new = sorted(set().union(*split).difference(self.unit))
+        short = [p for p in new if len(p) <= LONGEST]
         if short:
             self._add_many(short)
-        for p in fresh:
+        for p in new:
             if len(p) > LONGEST:
                 self.unit[p] = self._add(p)
-        unit = self.unit
-        for w, ps in parts.items():
-            known[w] = tuple(unit[p] for p in ps)
-        get = known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, ws)), np.int64) for ws in split]
+        get = self.unit.__getitem__
+        return [np.fromiter(map(get, units), np.int64, len(units)) for units in split]
 
     def forget(self) -> None:
         """Starts anew when what is remembered has grown past its bound."""
-        if len(self.words) > REMEMBERED or self.nodes > 16 * REMEMBERED:
-            self.__init__(self.v)
+        if len(self.unit) > REMEMBERED or self.nodes > 16 * REMEMBERED:
+            self.unit.clear()
+            self.bytes.clear()
+            self.nodes = self.edges = 0
 
     def walk(self, start: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Samples a path through each unit from its node: (unit's number, edge) in order."""
@@ -314,7 +319,8 @@ class _Text:
         u = _uniform(_times(self.key, sample, _GOLD), at.astype(np.uint64))
         g = _truncated(before[at] + np.log(other[at]), value, u)
         # only as many as can still be popped matter, the largest
-        for i in np.argsort(-g, kind="stable")[:16].tolist():
+        best = np.argpartition(-g, MOST - 1)[:MOST] if len(g) > MOST else np.arange(len(g))
+        for i in best.tolist():
             self.count += 1
             heapq.heappush(self.queue, (-float(g[i]), self.count, path, int(at[i]), (int(edges[at[i]]),)))
 
@@ -336,8 +342,8 @@ def _truncated(location, bound: float, u):
 
 def sample_texts(lat: Lattices, texts: list[str | None], keys: list[int], k: int, seed: int = 0) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its k samples (ids, log p, perturbed value, inclusion), the best value first."""
-    if k > 16:
-        raise ValueError("k is 16 at most")
+    if k > MOST:
+        raise ValueError(f"k is {MOST} at most")
     trees = []
     for starts, key in zip(lat.starts(texts), keys, strict=True):
         trees.append(_Text(starts, int(mix(np.array([(key + seed * 0x9E3779B97F4A7C15) & (1 << 64) - 1], np.uint64))[0])))
