@@ -113,7 +113,7 @@ class Lattices:
         self.cum = np.zeros(1 << 21)  # cumulative probability among the node's edges
         self.logp = np.zeros(1 << 21)
         self.piece = np.zeros(1 << 21, np.int32)  # negative: bytes
-        self.to = np.zeros(1 << 21, np.int64)  # -1: end of the unit
+        self.to = np.zeros(1 << 21, np.int32)  # -1: end of the unit
 
     def _room(self, nodes: int, edges: int) -> None:
         if self.nodes + nodes + 2 > len(self.first):
@@ -224,9 +224,12 @@ class Lattices:
         place[likeliest] -= 1
         order = np.argsort(place, kind="stable")
         logp, piece, dst, ended = logp[order], piece[order], dst[order], ended[order]
-        p = np.exp(logp)
-        total = np.cumsum(p)
-        cum = total - (total[first[:-1]] - p[first[:-1]])[src]
+        cum, at = np.exp(logp), first[:-1]
+        for r in range(1, v.longest + 1):  # node by node, so that a sum never depends on the units before
+            at = at[first[src[at] + 1] > at + 1] + 1
+            if not len(at):
+                break
+            cum[at] += cum[at - 1]
         cum[first[1:] - 1] = 1.0
         self._room(n, len(src))
         base, e0 = self.nodes, self.edges
@@ -242,12 +245,12 @@ class Lattices:
     def starts(self, texts: list[str | None]) -> list[np.ndarray]:
         """Start nodes of each text's units."""
         split = [self.v.units(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = sorted(set().union(*split).difference(self.unit))
+        new = set().union(*split).difference(self.unit)
         short = [p for p in new if len(p) <= LONGEST]
         if short:
             self._add_many(short)
-        for p in new:
-            if len(p) > LONGEST:
+        if len(short) < len(new):
+            for p in new.difference(short):
                 self.unit[p] = self._add(p)
         get = self.unit.__getitem__
         return [np.fromiter(map(get, units), np.int64, len(units)) for units in split]
@@ -306,23 +309,32 @@ class _Text:
         self.count = 0
         self.rest: np.ndarray | None = None
 
-    def push(self, lat: Lattices, path: int, begin: int, value: float, sample: int) -> None:
-        """The subtrees beside a path from place `begin` on, their values truncated at the path's."""
-        _, edges, _, _ = self.paths[path]
-        lp = lat.logp[edges]
-        before = np.concatenate([[0.0], np.cumsum(lp)[:-1]])
-        other = 1.0 - np.exp(lp)
-        at = np.flatnonzero(other > 1e-12)
-        at = at[at >= begin]
-        if not len(at):
-            return
-        u = _uniform(_times(self.key, sample, _GOLD), at.astype(np.uint64))
-        g = _truncated(before[at] + np.log(other[at]), value, u)
-        # only as many as can still be popped matter, the largest
-        best = np.argpartition(-g, MOST - 1)[:MOST] if len(g) > MOST else np.arange(len(g))
-        for i in best.tolist():
+    def push(self, path: int, at: np.ndarray, values: np.ndarray) -> None:
+        """Queues the subtrees beside a path at these places. Only as many as can still be popped matter, the largest."""
+        edges = self.paths[path][1]
+        best = np.argpartition(-values, MOST - 1)[:MOST] if len(values) > MOST else np.arange(len(values))
+        for place, value in zip(at[best].tolist(), values[best].tolist(), strict=True):
             self.count += 1
-            heapq.heappush(self.queue, (-float(g[i]), self.count, path, int(at[i]), (int(edges[at[i]]),)))
+            heapq.heappush(self.queue, (-value, self.count, path, place, (int(edges[place]),)))
+
+
+def _beside(trees: list[tuple[_Text, int]], lat: Lattices, sample: int) -> None:
+    """Queues the subtrees beside each text's newest path from its place on, their values truncated at the path's."""
+    lps = [lat.logp[t.paths[-1][1]] for t, _ in trees]
+    sizes = [len(x) for x in lps]
+    lp = np.concatenate(lps)
+    before = np.concatenate([np.cumsum(x) for x in lps]) - lp
+    place = np.concatenate([np.arange(n) for n in sizes])
+    other = 1.0 - np.exp(lp)
+    who = np.repeat(np.arange(len(trees)), sizes)
+    kept = np.flatnonzero((other > 1e-12) & (place >= np.repeat([begin for _, begin in trees], sizes)))
+    who, place = who[kept], place[kept]
+    keys = np.array([_times(t.key, sample, _GOLD) for t, _ in trees], np.uint64)
+    bounds = np.array([t.paths[-1][3] for t, _ in trees])
+    values = _truncated(before[kept] + np.log(other[kept]), bounds[who], _uniform(keys[who], place.astype(np.uint64)))
+    stops = np.searchsorted(who, np.arange(len(trees) + 1)).tolist()
+    for (t, _), a, b in zip(trees, stops, stops[1:], strict=False):
+        t.push(len(t.paths) - 1, place[a:b], values[a:b])
 
 
 def _times(key: int, n: int, factor) -> np.uint64:
@@ -390,6 +402,7 @@ def sample_texts(lat: Lattices, texts: list[str | None], keys: list[int], k: int
         ends = np.searchsorted(who, np.cumsum([len(x) for x in wanted]), side="left")
         at = 0
         i = 0
+        live = []
         for t, head in zip(trees, heads, strict=True):
             if head is None:
                 continue
@@ -399,7 +412,8 @@ def sample_texts(lat: Lattices, texts: list[str | None], keys: list[int], k: int
             edges = np.concatenate([head[1], edge[at:stop]])
             at = stop
             t.paths.append((units, edges, float(lat.logp[edges].sum()), head[2]))
-            t.push(lat, len(t.paths) - 1, head[3], head[2], sample + 1)
+            live.append((t, head[3]))
+        _beside(live, lat, sample + 1)
     out = []
     for t in trees:
         threshold = -t.queue[0][0] if t.queue else -math.inf
