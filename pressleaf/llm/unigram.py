@@ -35,7 +35,7 @@ from pressleaf.llm.minhash import mix
 
 MARK = "▁"
 #: Characters of text sampled at once in a task; lattices that a worker remembers, and the longest such unit.
-CHUNK, REMEMBERED, LONGEST = 1 << 21, 250_000, 48
+CHUNK, REMEMBERED, LONGEST = 1 << 21, 400_000, 48
 #: Samples of a text at most.
 MOST = 16
 _PUNCTUATION, _LETTER = ".,;:!?", r"[^\W\d_]"
@@ -87,6 +87,9 @@ class Vocabulary:
                     to.append(states[p[:n]])
         order = np.argsort(keys)
         self.keys, self.next = np.array(keys, np.int64)[order], np.array(to, np.int64)[order]
+        self.roots = np.full(1 << 21, -1, np.int32)  # the root's transitions by code point
+        begin = (self.keys >> 21) == 0
+        self.roots[self.keys[begin]] = self.next[begin]
         self.ends = np.full(len(states), -1, np.int32)
         self.worth = np.zeros(len(states))
         for p, (w, i) in self.weight.items():
@@ -172,12 +175,17 @@ class Lattices:
         stop = np.repeat(np.cumsum(sizes), sizes)
         n = len(text)
         src, dst, piece, worth = [], [], [], []
-        at, state, single = np.arange(n), np.zeros(n, np.int64), np.zeros(n, bool)
+        at, single = np.arange(n), np.zeros(n, bool)
         for t in range(v.longest):
-            key = state << 21 | text[at + t]
-            found = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-            ok = v.keys[found] == key
-            at, state = at[ok], v.next[found[ok]]
+            if t == 0:
+                state = v.roots[text].astype(np.int64)
+                ok = state >= 0
+                at, state = at[ok], state[ok]
+            else:
+                key = state << 21 | text[at + t]
+                found = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
+                ok = v.keys[found] == key
+                at, state = at[ok], v.next[found[ok]]
             hit = v.ends[state] >= 0
             src.append(at[hit])
             dst.append(at[hit] + t + 1)
@@ -356,16 +364,15 @@ def sample_texts(lat: Lattices, texts: list[str | None], keys: list[int], k: int
     """For each text its k samples (ids, log p, perturbed value, inclusion), the best value first."""
     if k > MOST:
         raise ValueError(f"k is {MOST} at most")
-    trees = []
-    for starts, key in zip(lat.starts(texts), keys, strict=True):
-        trees.append(_Text(starts, int(mix(np.array([(key + seed * 0x9E3779B97F4A7C15) & (1 << 64) - 1], np.uint64))[0])))
+    keys = mix(np.array([(key + seed * 0x9E3779B97F4A7C15) & (1 << 64) - 1 for key in keys], np.uint64))
+    trees = [_Text(starts, key) for starts, key in zip(lat.starts(texts), keys.tolist(), strict=True)]
+    tops = (-np.log(-np.log(_uniform(keys, np.zeros(len(keys), np.uint64))))).tolist()
     for sample in range(k):
         # every text's next path: a kept beginning, and units still to be walked
         wanted, heads, begins, keyed = [], [], [], []
-        for t in trees:
+        for t, top in zip(trees, tops, strict=True):
             if sample == 0:
-                value = float(-np.log(-np.log(_uniform(_U(t.key), np.array([0], np.uint64))[0])))
-                heads.append((np.zeros(0, np.int64), np.zeros(0, np.int64), value, 0))
+                heads.append((np.zeros(0, np.int64), np.zeros(0, np.int64), top, 0))
                 begin, first = 0, None
             elif not t.queue:
                 heads.append(None)
@@ -394,11 +401,13 @@ def sample_texts(lat: Lattices, texts: list[str | None], keys: list[int], k: int
                 starts, number = np.append(first, starts), np.append(np.array([begin - 1], np.uint64), number)
             wanted.append(starts)
             begins.append(number)
-            keyed.append(mix(_times(t.key, sample + 1, _STEP) + number * _GOLD))
+            keyed.append(_times(t.key, sample + 1, _STEP))
         if not wanted:
             break
-        who, edge = lat.walk(np.concatenate(wanted), np.concatenate(keyed))
-        unit = np.concatenate(begins).astype(np.int64)[who]
+        number = np.concatenate(begins)
+        keyed = np.repeat(np.array(keyed, np.uint64), [len(x) for x in begins])
+        who, edge = lat.walk(np.concatenate(wanted), mix(keyed + number * _GOLD))
+        unit = number.astype(np.int64)[who]
         ends = np.searchsorted(who, np.cumsum([len(x) for x in wanted]), side="left")
         at = 0
         i = 0
