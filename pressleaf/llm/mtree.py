@@ -7,8 +7,8 @@ Equal vectors are one object that carries its k + 1 smallest ids. Objects are de
 of pivots, crowded pivots are split by a hash, and every such shard is an M-tree of its own: pages of routing objects with
 covering radii and stored distances to the parent object. A query first searches its home shard; the k-th score found
 there bounds the distance, and it goes on only to shards whose covering ball reaches within it. In a tree the page with
-the least possible distance is opened first, and the triangle inequality on stored distances rules out pages and entries
-before their own distance is computed.
+the least possible distance to any query of a block is opened first, for all queries that it may concern, and the triangle
+inequality on stored distances rules out pages and entries before their own distance is computed.
 
 Defined results: null vectors, vectors with null or non-finite components, and null ids take no part; shorter vectors
 count as padded with zeros; repeated rows of one id count once; ties go to the smaller id; with fewer than k candidates
@@ -84,59 +84,81 @@ class MTree:
 
     def search(self, query: np.ndarray, ids: list, k: int, least: int | None = None) -> list[tuple[int, int]]:
         """The k best (score, id), ids[i] being the ids of object i; scores below `least` may be left out."""
-        if self.root is None:
-            return []
-        q = query.astype(np.float64)
-        q2 = float(q @ q)
+        return self.search_all(query[None, :], ids, k, [least])[0]
+
+    def search_all(self, queries: np.ndarray, ids: list, k: int, least: list[int | None]) -> list[list[tuple[int, int]]]:
+        """search() of each query. Queries share the walk: the page with the least possible distance to any of them is
+        opened first, once, for those queries alone whose own limit it may be within."""
+        n = len(queries)
+        best: list[list[tuple[int, int]]] = [[] for _ in range(n)]  # heaps of (score, -id): the worst first
+        if self.root is None or not n:
+            return best
+        q = queries.astype(np.float64)
+        q2 = (q**2).sum(1)
         slack = 1e-6 * (np.sqrt(q2) + np.sqrt(self.r2) + 1.0)
-        best: list[tuple[int, int]] = []  # a heap of (score, -id): the worst first
-        floor = least
-
-        def reach() -> float:
-            return np.inf if floor is None else np.sqrt(max(0.0, q2 + self.r2 - 2.0 * floor)) + slack
-
-        def away(i: int) -> float:
-            self.computed += 1
-            return float(np.sqrt(max(0.0, q2 + self.r2 - 2.0 * (self.points[i] @ q))))
-
-        limit = reach()
-        d = away(self.root.routing)
-        todo = [(max(0.0, d - self.root.radius), 0, self.root, d)]
+        floors = np.array([-(2**63) if x is None else x for x in least], np.int64)
+        limit = np.full(n, np.inf)
+        bounded = np.flatnonzero([x is not None for x in least])
+
+        def bound(who: np.ndarray) -> None:
+            limit[who] = np.sqrt(np.maximum(0.0, q2[who] + self.r2 - 2.0 * floors[who])) + slack[who]
+
+        def away(i: int, who: np.ndarray) -> np.ndarray:
+            self.computed += len(who)
+            return np.sqrt(np.maximum(0.0, q2[who] + self.r2 - 2.0 * (q[who] @ self.points[i])))
+
+        bound(bounded)
+        who = np.arange(n)
+        d = away(self.root.routing, who)
+        low = np.maximum(0.0, d - self.root.radius)
+        todo = [(float(low.min()), 0, self.root, who, d, low)]
         count = 1
         while todo:
-            bound, _, node, d = heapq.heappop(todo)
-            if bound > limit:
-                break
+            _, _, node, who, d, low = heapq.heappop(todo)
+            still = low <= limit[who]
+            if not still.any():
+                continue
+            who, d, low = who[still], d[still], low[still]
             if node.entries is None:
                 for child in node.children:
-                    if abs(d - child.to_parent) - child.radius > limit:
-                        continue  # ruled out by stored distances
-                    dc = away(child.routing)
-                    low = max(bound, dc - child.radius)
-                    if low <= limit:
-                        heapq.heappush(todo, (low, count, child, dc))
+                    near = np.abs(d - child.to_parent) - child.radius <= limit[who]  # by stored distances
+                    some = who[near]
+                    if not len(some):
+                        continue
+                    dc = away(child.routing, some)
+                    lc = np.maximum(low[near], dc - child.radius)
+                    reached = lc <= limit[some]
+                    if reached.any():
+                        lc = lc[reached]
+                        heapq.heappush(todo, (float(lc.min()), count, child, some[reached], dc[reached], lc))
                         count += 1
                 continue
-            inside = node.entries if limit == np.inf else node.entries[np.abs(d - node.stored) <= limit]
-            if not len(inside):
+            near = np.abs(d[:, None] - node.stored[None, :]) <= limit[who][:, None]
+            columns = near.any(0)
+            if not columns.any():
+                continue
+            inside = node.entries[columns]
+            self.computed += len(who) * len(inside)
+            scores = (q[who] @ self.points[inside].T).astype(np.int64) if self.exact else queries[who] @ self.ints[inside].T
+            row, col = np.nonzero(scores >= floors[who][:, None])
+            if not len(row):
                 continue
-            self.computed += len(inside)
-            scores = (self.points[inside] @ q).astype(np.int64) if self.exact else self.ints[inside] @ query
-            if floor is not None:
-                hit = np.flatnonzero(scores >= floor)
-                inside, scores = inside[hit], scores[hit]
-            for i, s in zip(inside.tolist(), scores.tolist(), strict=True):
+            for w, i, s in zip(who[row].tolist(), inside[col].tolist(), scores[row, col].tolist(), strict=True):
+                heap = best[w]
+                if len(heap) == k and s < heap[0][0]:
+                    continue
                 for name in ids[i]:
-                    if len(best) < k:
-                        heapq.heappush(best, (s, -name))
-                    elif (s, -name) > best[0]:
-                        heapq.heapreplace(best, (s, -name))
+                    if len(heap) < k:
+                        heapq.heappush(heap, (s, -name))
+                    elif (s, -name) > heap[0]:
+                        heapq.heapreplace(heap, (s, -name))
                     else:
                         break  # the ids ascend
-            if len(best) == k and (floor is None or best[0][0] > floor):
-                floor = best[0][0]
-                limit = reach()
-        return sorted(((s, -n) for s, n in best), key=lambda x: (-x[0], x[1]))
+            changed = [w for w in np.unique(who[row]).tolist() if len(best[w]) == k and best[w][0][0] > floors[w]]
+            if changed:
+                floors[changed] = [best[w][0][0] for w in changed]
+                bound(np.array(changed))
+        return [sorted(((s, -x) for s, x in heap), key=lambda x: (-x[0], x[1])) for heap in best]
 
 
 def quantised(vectors: DataFrame, column: str = "embedding", factor: float = 64.0) -> DataFrame:
@@ -232,9 +254,8 @@ def search(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
             objs = objs.sort_values("name")
             tree = MTree(_padded(objs["vec"], dim), r2, seed=int(key[0]) * 1009 + int(key[1]))
             ids = [list(map(int, x)) for x in objs["ids"]]
-            floors = asks["floor"].tolist() if "floor" in asks else [None] * len(asks)
-            for q, v, f in zip(asks["query"].tolist(), _padded(asks["vec"], dim), floors, strict=True):
-                found = tree.search(v, ids, most, None if f is None or f != f else int(f))
+            floors = [None if f is None or f != f else int(f) for f in asks["floor"].tolist()] if "floor" in asks else [None] * len(asks)
+            for q, found in zip(asks["query"].tolist(), tree.search_all(_padded(asks["vec"], dim), ids, most, floors), strict=True):
                 out["query"] += [q] * len(found)
                 out["score"] += [s for s, _ in found]
                 out["vec_id"] += [n for _, n in found]
