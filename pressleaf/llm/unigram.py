@@ -35,7 +35,7 @@ from pressleaf.llm.minhash import mix
 
 MARK = "▁"
 #: Characters of text sampled at once in a task; lattices that a worker remembers, and the longest such unit.
-CHUNK, REMEMBERED, LONGEST = 1 << 21, 400_000, 48
+CHUNK, REMEMBERED, LONGEST = 1 << 21, 300_000, 48
 #: Samples of a text at most.
 MOST = 16
 _PUNCTUATION, _LETTER = ".,;:!?", r"[^\W\d_]"
@@ -119,13 +119,18 @@ class Lattices:
         self.to = np.zeros(1 << 21, np.int32)  # -1: end of the unit
 
     def _room(self, nodes: int, edges: int) -> None:
+        """Grows the arrays; zeros that were never written take no memory."""
+
+        def grown(old: np.ndarray, used: int, more: int) -> np.ndarray:
+            new = np.zeros(max(2 * len(old), used + more), old.dtype)
+            new[:used] = old[:used]
+            return new
+
         if self.nodes + nodes + 2 > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros(max(len(self.first), nodes), np.int64)])
+            self.first = grown(self.first, self.nodes + 1, nodes + 2)
         if self.edges + edges > len(self.cum):
-            more = max(len(self.cum), edges)
             for name in ("cum", "logp", "piece", "to"):
-                old = getattr(self, name)
-                setattr(self, name, np.concatenate([old, np.zeros(more, old.dtype)]))
+                setattr(self, name, grown(getattr(self, name), self.edges, edges))
 
     def _bytes(self, char: str) -> int:
         """The piece of a one-byte character, or a negative number that stands for its bytes."""
