@@ -205,6 +205,22 @@ def test_mtree_prunes():
     assert tree.computed < len(v)
 
 
+def test_mtree_block_equals_brute_force():
+    rng = np.random.default_rng(3)
+    v = rng.integers(-4, 5, (700, 5))
+    v[300:500] = v[300]
+    tree = mtree.MTree(v, float((v**2).sum(1).max()))
+    queries = v[::7]
+    want = [sorted(((int(s), i) for i, s in enumerate(v @ q)), key=lambda x: (-x[0], x[1]))[:9] for q in queries]
+    ids = [[i] for i in range(len(v))]
+    assert tree.search_all(queries, ids, 9, [None] * len(queries)) == want
+    floors = [w[-1][0] if n % 2 else None for n, w in enumerate(want)]
+    assert tree.search_all(queries, ids, 9, floors) == want
+    assert tree.search_all(queries[:0], ids, 9, []) == []
+    above = tree.search_all(queries, ids, 9, [w[0][0] + 1 for w in want])
+    assert above == [[] for _ in want]
+
+
 def test_sharding(docs, empty):
     got = sharding.shard(docs).orderBy("shard", "slot").collect()
     rows = docs.collect()
