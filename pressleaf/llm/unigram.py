@@ -173,7 +173,7 @@ class Lattices:
         return base
 
     def _add_many(self, units: list[str]) -> None:
-        """Adds units of LONGEST characters at most, all at once: their log weights stay within a float's exponent."""
+        """Adds units of LONGEST characters at most, all at once, with the sums that _add makes."""
         v = self.v
         text = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         sizes = np.array([len(u) for u in units])
@@ -228,7 +228,8 @@ class Lattices:
             e = np.repeat(first[nodes] - offset, count) + np.arange(count.sum())
             x = worth[e] + np.where(ended[e], 0.0, beta[dst[e]])
             worth[e] = x
-            beta[nodes] = np.log(np.add.reduceat(np.exp(x), offset))
+            top = np.maximum.reduceat(x, offset)
+            beta[nodes] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, count)), offset))
         logp = np.minimum(0.0, worth - beta[src])
         # the likeliest edge of a node first
         likeliest = np.flatnonzero(logp == np.maximum.reduceat(logp, first[:-1])[src])

@@ -380,6 +380,30 @@ def test_sampling_is_without_replacement():
     assert abs(np.mean([sum(math.exp(s[1]) / s[3] for s in g) for g in got]) - 1) < 0.01
 
 
+def test_units_without_pieces():
+    """Short units of characters without a piece weigh the same whichever way they are added."""
+    v = unigram.Vocabulary()
+    emoji, han = ("".join([c for c in map(chr, span) if c not in v.weight][:48]) for span in (range(0x1F300, 0x1F600), range(0x4E00, 0x9FA6)))
+    units = [s[:n] for s in (emoji, han) for n in (15, 16, 20, 32, 48)] + [han[:20] + "the" + emoji[:20], "the"]
+    assert len(emoji) == len(han) == 48
+    many, one = unigram.Lattices(v), unigram.Lattices(v)
+    many._add_many(units)
+
+    def edges(lat, start, n):
+        name = lambda p: p if p >= 0 else lat.bytes[-p - 1]
+        every = [(i, e) for i in range(n) for e in range(lat.first[start + i], lat.first[start + i + 1])]
+        return {(i, int(lat.to[e]) - start if lat.to[e] >= 0 else n, name(int(lat.piece[e]))): float(lat.logp[e]) for i, e in every}
+
+    for u in units:
+        got, want = edges(many, many.unit[u], len(u)), edges(one, one._add(u), len(u))
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    lat = unigram.Lattices(v)
+    texts = [emoji, han[:32], "the " + emoji[:16] + " the"]
+    for text, found in zip(texts, unigram.sample_texts(lat, texts, [1, 2, 3], 3), strict=True):
+        assert all(math.isfinite(s[1]) and math.isfinite(s[2]) and 0 <= s[3] <= 1 and v.decode(s[0].tolist()) == text for s in found)
+    assert len({s[0].tobytes() for s in found}) == 3
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
