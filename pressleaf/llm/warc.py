@@ -130,43 +130,74 @@ def _matches(data: bytes, digest: str | None) -> bool:
 
 
 def _member(data: bytes, at: int):
-    """(plain bytes, end) of a whole gzip member; None if it is damaged."""
+    """(plain bytes, end, state) of a gzip member as far as it can be read; the state is "whole", "short" where the data
+    end first, "trailer" where only checksum or size fail, and "broken" where the compressed bytes can't be read on."""
     unzip = zlib.decompressobj(31)
     try:
         plain = unzip.decompress(data[at:]) + unzip.flush()
+        return (plain, len(data) - len(unzip.unused_data), "whole") if unzip.eof else (plain, len(data), "short")
     except zlib.error:
-        return None
-    return (plain, len(data) - len(unzip.unused_data)) if unzip.eof else None
+        pass
+    parts, unzip, place, step = [], zlib.decompressobj(31), at, 1 << 16
+    while True:
+        before = unzip.copy()
+        try:
+            parts.append(unzip.decompress(data[place : place + step]))
+            place += step
+        except zlib.error as e:
+            if step > 1:  # byte by byte up to the damage
+                unzip, step = before, 1
+                continue
+            checked = next((n for what, n in (("data check", 4), ("length check", 8)) if what in str(e)), 0)
+            return b"".join(parts), place + 1 - checked, "trailer" if checked else "broken"
+
+
+def _proven(headers: dict) -> bool:
+    """Whether a record that passed its checks had a digest of its whole block among them."""
+    return headers.get("warc-block-digest", "").lower().startswith("sha1:")
 
 
 def salvage(data: bytes):
-    """Yields ("record", offset, end, headers, block, payload) and ("gap", offset, end, None, None, None) in file order."""
+    """Yields ("record", offset, end, headers, block, payload) and ("gap", offset, end, None, None, None) in file order.
+
+    Records and gaps inside a gzip member have the offsets of the member; a damaged member gives the records that could be
+    read, up to the next valid place, and is a gap besides. Where its compressed bytes are wrong, only records with a
+    block digest count; a member of one record that fails in checksum or size alone is a gap alone.
+    """
     at, bad = 0, None
+    held = []  # records of damaged members within the gap
     while at < len(data):
-        got = []
-        end = None
+        got, end = [], None
         if data.startswith(b"\x1f\x8b\x08", at):
-            if member := _member(data, at):
-                plain, end = member
-                for kind, _, _, *rest in salvage(plain):
-                    if kind == "gap":
-                        end = None  # the member as a whole is quarantined unless all of it parses
-                        break
-                    got.append(rest)
+            plain, stop, state = _member(data, at)
+            inner = list(salvage(plain))
+            records = [x for x in inner if x[0] == "record"]
+            if state == "whole":
+                if records or not inner:
+                    got, end = [(x[0], *x[3:]) for x in inner], stop
+            elif state != "trailer" or len(inner) > 1:
+                for _, a, b, *rest in records:
+                    # what is stored without compression is found by the search
+                    if (state == "short" or _proven(rest[0])) and data.find(plain[a:b], at + 1, stop) < 0:
+                        held.append((at, *rest))
         elif parsed := _parse(data, at):
-            got, end = [parsed[0]], parsed[1]
+            got, end = [("record", *parsed[0])], parsed[1]
         if end is None:
             bad = at if bad is None else bad
             found = _START.search(data, at + 1)
             at = found.start() if found else len(data)
             continue
         if bad is not None:
+            for start, *rest in held:
+                yield "record", start, at, *rest
             yield "gap", bad, at, None, None, None
-            bad = None
-        for headers, block, payload in got:
-            yield "record", at, end, headers, block, payload
+            bad, held = None, []
+        for kind, headers, block, payload in got:
+            yield kind, at, end, headers, block, payload
         at = end
     if bad is not None:
+        for start, *rest in held:
+            yield "record", start, len(data), *rest
         yield "gap", bad, len(data), None, None, None
 
 

@@ -273,6 +273,29 @@ def test_salvage(spark):
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_inside_members(spark):
+    """A damaged gzip member of many records gives all that are whole, each once."""
+    df = spark.createDataFrame([(i, "u", " ".join(f"{zlib.crc32(bytes([i, j % 251, j // 251]))}" for j in range(900))) for i in range(5)], "page_id long, url string, html string")
+    records = [(r["record"] + warc.SEPARATOR).encode() for r in warc.records(df).orderBy("page_id").collect()]
+    whole = b"".join(records)
+    ids = lambda data: [x[3] and int(x[3]["warc-record-id"][len(warc.RECORD) + 1 : -1]) for x in warc.salvage(data)]
+    broken = bytearray(whole)
+    broken[len(records[0]) + len(records[1]) - 8] ^= 1
+    assert ids(gzip.compress(bytes(broken))) == [0, None, 2, 3, 4]
+    for level in (0, 6):  # the first is found as it stands, with gaps around it
+        member = gzip.compress(whole, level)
+        for tail, more in ((b"", []), (gzip.compress(records[0]), [0])):
+            crc = bytearray(member)
+            crc[-6] ^= 1
+            for data, want in ((member[: len(member) // 2], [0, 1]), (bytes(crc), [0, 1, 2, 3, 4])):
+                found = ids(data + tail)
+                assert [i for i in found if i is not None] == want + more
+                assert level == 0 or found == [*want, None, *more]
+    torn = bytearray(gzip.compress(whole))
+    torn[len(torn) // 2 : len(torn) // 2 + 40] = bytes(40)
+    assert ids(bytes(torn) + gzip.compress(records[4]))[:2] == [0, 1] and ids(bytes(torn) + gzip.compress(records[4]))[-2:] == [None, 4]
+
+
 def test_packing(docs, empty):
     got = packing.packed(docs).collect()
     want = Counter()
