@@ -535,11 +535,11 @@ def _(spark, d):
 def _(spark, d):
     from pressleaf.functions import css
 
-    def run(text: str) -> str:
-        return css.rewrite(text, lambda address, imported: address)
+    def run(blocks) -> str | None:
+        return None if blocks is None else "\n".join(css.rewrite(text, lambda address, imported: address) for text in blocks)
 
-    sheet = F.regexp_extract("html", "(?s)<style[^>]*>(.*?)</style>", 1)
-    return pages(spark, d).select("page_id", F.pandas_udf(lambda s: s.map(run), T.StringType())(sheet).alias("css"))
+    sheets = F.regexp_extract_all("html", F.lit("(?s)<style[^>]*>(.*?)</style>"), 1)
+    return pages(spark, d).select("page_id", F.pandas_udf(lambda s: s.map(run), T.StringType())(sheets).alias("css"))
 
 
 @register("hosts_ranked", f"SELECT host, CAST(count(*) AS BIGINT) AS n, CAST(rank() OVER (ORDER BY count(*) DESC) AS INTEGER) AS place FROM (SELECT {_HOST} AS host FROM pages) GROUP BY host")

@@ -100,3 +100,12 @@ def test_entry_without_llm(spark):
 
     names = __spark_entry__.queries()
     assert "page_titles" in names and set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_css_rewrite_takes_every_block(spark, tmp_path):
+    from pressleaf.plans import catalogue
+
+    rows = [(1, "u", "<style>a{}</style><p><style media=x>b{}\n</style>"), (2, "u", "<p>"), (3, "u", None), (4, "u", "<style>c{}</style>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r["page_id"]: r["css"] for r in catalogue.QUERIES["css_rewrite"](spark, str(tmp_path)).collect()}
+    assert "a{" in found[1] and "b{" in found[1] and found[2] == "" and "c{" in found[4]
