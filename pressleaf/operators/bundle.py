@@ -40,6 +40,8 @@ class Session:
     def __init__(self, lookup: Lookup, options: Options):
         self.lookup, self.options = lookup, options
         self.log: list[tuple[str, str]] = []
+        #: What was asked for as a "sheet", "import", "frame" or "" (anything else), each once, in order.
+        self.uses: dict[tuple[str, str], None] = {}
 
     def allowed(self, url: str) -> bool:
         if not self.options.domains:
@@ -48,7 +50,7 @@ class Session:
         hit = any(urls.within_domain(found.host or "", p.strip()) for p in self.options.domains)
         return hit != self.options.blacklist_domains
 
-    def retrieve(self, parent: str, url: str) -> Asset | None:
+    def retrieve(self, parent: str, url: str, use: str = "") -> Asset | None:
         if url.startswith("data:"):
             media_type, charset, data = urls.parse_data_url(url)
             return Asset(data, url, media_type, charset)
@@ -56,6 +58,7 @@ class Session:
             self.log.append((url, "security error"))
             return None
         key = urls.clean(url)
+        self.uses.setdefault((key, use))
         found = self.lookup(key)
         if found is None or url.startswith("http") and not self.allowed(url):
             self.log.append((url, "not found" if found is None else "domain not allowed"))
@@ -77,7 +80,7 @@ def _fallback(url: str) -> str | None:
 def embed_css(session: Session, document_url: str, text: str, depth: int = 0, above: tuple[str, ...] = ()) -> str:
     def fetch(address: str, imported: bool) -> str | None:
         full = urls.resolve(document_url, address)
-        got = session.retrieve(document_url, full)
+        got = session.retrieve(document_url, full, "import" if imported else "")
         if got is None:
             return _fallback(full)
         data, charset = got.data, got.charset
@@ -109,18 +112,18 @@ class _Walk:
         self.s, self.o, self.url, self.depth, self.above = session, session.options, url, depth, above
 
     def embed(self, node: dom.Node, attr: str, value: str) -> None:
-        full = urls.resolve(self.url, value)
-        got = self.s.retrieve(self.url, full)
+        full, name = urls.resolve(self.url, value), node.name
+        sheet = name == "link" and "stylesheet" in markup.link_types(node.get("rel") or "")
+        got = self.s.retrieve(self.url, full, "sheet" if sheet else "frame" if name in ("frame", "iframe") else "")
         if got is None:
             node.set(attr, _fallback(full))
             return
-        name = node.name
         if name in ("link", "script"):
             stated = node.get("integrity")
             node.set("integrity", None)
             if stated and not markup.integrity_holds(got.data, stated):
                 return
-        if name == "link" and "stylesheet" in markup.link_types(node.get("rel") or ""):
+        if sheet:
             text = embed_css(self.s, got.final_url, media.decode(got.data, got.charset), 0, (urls.clean(full),))
             node.set(attr, urls.data_url(got.media_type, got.charset, text.encode(), got.final_url))
         elif name in ("frame", "iframe"):
@@ -341,7 +344,11 @@ def rewrite_page(html: str | bytes, url: str | None, lookup: Lookup, options: Op
     options = options or Options()
     if options.encoding and media.codec(options.encoding) is None:
         raise ValueError(f'unknown encoding "{options.encoding}"')
-    session = Session(lookup, options)
+    return _rewritten(html, url, Session(lookup, options), charset)
+
+
+def _rewritten(html: str | bytes, url: str | None, session: Session, charset: str = "utf-8"):
+    options = session.options
     text = media.decode(html, charset) if isinstance(html, bytes) else html
     document = dom.parse(text)
     stated = dom.charset(document)
@@ -379,27 +386,30 @@ def rewrite_page(html: str | bytes, url: str | None, lookup: Lookup, options: Op
     return media.encode(made, charset if isinstance(html, bytes) or options.encoding else "utf-8"), title, session.log
 
 
-def references(html: str, url: str | None, options: Options | None = None) -> list[str]:
-    """Cleaned addresses that the page asks the catalog for, each once, in order."""
-    asked: dict[str, None] = {}
+def _nothing(key: str) -> None:
+    return None
+
 
-    def lookup(key: str) -> None:
-        asked.setdefault(key)
+def page_uses(html: str, url: str | None, options: Options | None = None) -> list[tuple[str, str]]:
+    """Cleaned addresses that the page asks the catalog for and what as, each pair once, in order."""
+    session = Session(_nothing, options or Options())
+    _rewritten(html, url, session)
+    return list(session.uses)
 
-    rewrite_page(html, url, lookup, options)
-    return list(asked)
+
+def references(html: str, url: str | None, options: Options | None = None) -> list[str]:
+    """Cleaned addresses that the page asks the catalog for, each once, in order."""
+    return list(dict.fromkeys(key for key, _ in page_uses(html, url, options)))
 
 
-def asset_references(asset: Asset, options: Options | None = None) -> list[str]:
-    """What a sheet or a frame refers to in turn."""
-    kind = asset.media_type.lower()
-    if kind == "text/css":
-        asked: dict[str, None] = {}
-        embed_css(Session(lambda key: asked.setdefault(key), options or Options()), asset.final_url, asset.data.decode("utf-8", "replace"))
-        return list(asked)
-    if kind in media.HTML:
-        return references(media.decode(asset.data, asset.charset), asset.final_url, options)
-    return []
+def asset_uses(asset: Asset, use: str, options: Options | None = None) -> list[tuple[str, str]]:
+    """What an asset refers to in turn, read as the rewriter reads it: by its use, whatever its media type."""
+    session = Session(_nothing, options or Options())
+    if use == "frame":
+        _Walk(session, asset.final_url, 0, ()).tree(dom.parse(media.decode(asset.data, asset.charset)))
+    elif use:
+        embed_css(session, asset.final_url, asset.data.decode("utf-8", "replace") if use == "import" else media.decode(asset.data, asset.charset))
+    return list(session.uses)
 
 
 def page_references(pages: DataFrame, options: Options | None = None) -> DataFrame:
@@ -423,36 +433,48 @@ def page_references(pages: DataFrame, options: Options | None = None) -> DataFra
 def needed_assets(pages: DataFrame, assets: DataFrame, options: Options | None = None) -> DataFrame:
     """(page_id, url_key) of all assets a page needs, through imports and frames, level by level.
 
-    Only keys are joined; the assets' bytes stay where they are until the last join.
+    Of the assets' bytes only those of sheets and frames are read before the last join, each once for each use.
     """
     options = options or Options()
 
-    def run(batches):
+    def of_pages(batches):
+        for batch in batches:
+            rows = [
+                (page, *x)
+                for page, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)
+                for x in page_uses(html or "", url, options)
+            ]
+            kinds = (pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["page_id", "url_key", "use"])
+
+    def of_assets(batches):
         for batch in batches:
             rows = []
-            for key, final, kind, charset, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                found = Asset(data or b"", final or key, kind or media.detect(data or b"", final or key), charset or "")
-                rows += [(key, k) for k in asset_references(found, options)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], names=["from_key", "to_key"])
+            for key, final, charset, data, use in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                rows += [(key, use, *x) for x in asset_uses(Asset(data or b"", final or key, "", charset or ""), use, options)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], names=["from_key", "from_use", "to_key", "to_use"])
 
-    nested = assets.where(F.coalesce(F.col("media_type"), F.lit("")).isin("", "text/css", *media.HTML))
     known = assets.select("url_key").distinct()
-    edges = nested.select("url_key", "final_url", "media_type", "charset", "data").mapInArrow(run, "from_key string, to_key string")
-    edges = edges.join(known.withColumnRenamed("url_key", "to_key"), "to_key", "left_semi").distinct().persist()
-    level = page_references(pages, options).select("page_id", "url_key").distinct().join(known, "url_key", "left_semi")
-    every = level
-    for _ in range(options.max_depth if edges.head(1) else 0):
+    bytes_of = assets.select("url_key", "final_url", "charset", "data")
+    level = pages.select("page_id", "url", "html").mapInArrow(of_pages, "page_id bigint, url_key string, use string")
+    every = level = level.distinct().join(known, "url_key", "left_semi").select("page_id", "url_key", "use").persist()
+    for _ in range(options.max_depth):
+        inner = level.where("use <> ''")
+        if not inner.head(1):
+            break
+        edges = bytes_of.join(inner.select("url_key", "use").distinct(), "url_key").select("url_key", "final_url", "charset", "data", "use")
+        edges = edges.mapInArrow(of_assets, "from_key string, from_use string, to_key string, to_use string").distinct()
         level = (
-            level.join(edges, level["url_key"] == edges["from_key"])
-            .select("page_id", F.col("to_key").alias("url_key"))
+            inner.join(edges, (inner["url_key"] == edges["from_key"]) & (inner["use"] == edges["from_use"]))
+            .select("page_id", F.col("to_key").alias("url_key"), F.col("to_use").alias("use"))
             .distinct()
-            .join(every, ["page_id", "url_key"], "left_anti")
+            .join(known, "url_key", "left_semi")
+            .join(every, ["page_id", "url_key", "use"], "left_anti")
+            .select("page_id", "url_key", "use")
             .persist()
         )
-        if not level.head(1):
-            break
         every = every.unionByName(level)
-    return every
+    return every.select("page_id", "url_key").distinct()
 
 
 def bundle(pages: DataFrame, assets: DataFrame | None = None, options: Options | None = None) -> DataFrame:

@@ -109,3 +109,15 @@ def test_css_rewrite_takes_every_block(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     found = {r["page_id"]: r["css"] for r in catalogue.QUERIES["css_rewrite"](spark, str(tmp_path)).collect()}
     assert "a{" in found[1] and "b{" in found[1] and found[2] == "" and "c{" in found[4]
+
+
+def test_nested_assets_of_any_type(spark):
+    """What a sheet, an import or a frame needs comes along whatever media type they were served as."""
+    page = "<link rel=stylesheet href=a><iframe src=f></iframe><link rel=stylesheet href=t>"
+    rows = [("a", "text/plain", b"@import 'b';p{background:url(i)}"), ("b", "application/octet-stream", b"q{background:url(j)}"), ("f", "text/plain", b"<img src=k>"), ("t", "TEXT/CSS", b"p{background:url(l)}")]
+    rows += [(n, "image/png", b"\x89PNG\r\n\x1a\n") for n in "ijkl"]
+    assets = spark.createDataFrame([(f"http://x.de/{n}", None, kind, None, bytearray(data)) for n, kind, data in rows], "url_key string, final_url string, media_type string, charset string, data binary")
+    pages = spark.createDataFrame([(1, "http://x.de/p", page)], "page_id long, url string, html string")
+    assert sorted(r["url_key"][-1] for r in needed_assets(pages, assets).collect()) == sorted("abftijkl")
+    (row,) = bundle(pages, assets).collect()
+    assert row["error"] is None and b"http://x.de/" not in row["content"].partition(b"\n")[2]
