@@ -1,18 +1,22 @@
 """Token ids of whole texts by a public byte-level BPE vocabulary of the tokenizers library.
 
-The library's own normaliser-free pre-tokenisation pattern splits a text; each distinct piece is encoded once by
-the tokenizers library and its ids are remembered in the task, so frequent words cost a lookup. The ids equal those
-of encoding the whole text, as no merge of this vocabulary crosses a piece (tests hold the two against each other).
+Ids equal those of the library's own call on the whole text, added tokens included. A text is cut around added tokens,
+the library's pre-tokenisation pattern splits the rest into pieces, and each distinct piece is encoded once by the library
+and its ids are remembered in the task, so frequent words cost a lookup (no merge of the vocabulary crosses a piece).
 """
 
 from __future__ import annotations
 
 import array
+import re
 import sys
 
 END = 2
 #: Pieces whose ids a worker remembers, and the longest piece that is remembered.
-REMEMBERED, LONGEST = 700_000, 64
+REMEMBERED, LONGEST = 600_000, 64
+#: The library's pattern for texts of Latin letters without digits outside ASCII; other texts take its own pattern.
+_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]+| ?[0-9]+| ?[^\sA-Za-z0-9\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]+|\s+(?!\S)|\s+").findall
+_OTHER = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]").search
 
 
 class Encoder:
@@ -24,11 +28,24 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.pattern = regex.compile(public_tokenizers.PATTERN).findall
         self.known: dict[str, bytes] = {}
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            if token.lstrip or token.rstrip or token.single_word or token.normalized:
+                raise ValueError(f"unsupported added token {token.content!r}")
+            self.known[token.content] = i.to_bytes(4, "little")
+        self.added = tuple(self.known)
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
+    def _split(self, text: str) -> list[str]:
+        return (self.pattern if _OTHER(text) else _LATIN)(text)
+
+    def pieces(self, text: str) -> list[str]:
+        if any(a in text for a in self.added):
+            return [p for i, part in enumerate(self.cut(text)) for p in ([part] if i % 2 else self._split(part))]
+        return self._split(text)
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
         made = []
         for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
             ids = array.array("I", e.ids)
@@ -39,19 +56,18 @@ class Encoder:
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, the end id included; null counts as empty."""
-        split = [self.split(t) if t else [] for t in texts]
+        split = [self.pieces(t) if t else [] for t in texts]
         new: set[str] = set()
         for pieces in split:
             new.update(pieces)
         new.difference_update(self.known)
         once: dict[str, bytes] = {}
-        if new:
-            pieces = list(new)
-            for piece, ids in zip(pieces, self._encode(pieces), strict=True):
-                if len(self.known) < REMEMBERED and len(piece) <= LONGEST:
-                    self.known[piece] = ids
-                else:
-                    once[piece] = ids
+        fresh = list(new)
+        for piece, ids in zip(fresh, self._ids(fresh), strict=True):
+            if len(self.known) < REMEMBERED and len(piece) <= LONGEST:
+                self.known[piece] = ids
+            else:
+                once[piece] = ids
         end = END.to_bytes(4, "little")
         if once:
             known = self.known
