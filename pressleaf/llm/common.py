@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,10 +19,12 @@ FOLDS = 5
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share. Where none is set, a temporary one serves local sessions; a cluster needs it."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir") or spark.conf.get("pressleaf.scratch", None)
     if not base:
+        if not re.match(r"local(\[|$)", conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pressleaf-")
         spark.conf.set("pressleaf.scratch", base)
     return base.rstrip("/")
@@ -36,18 +41,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Removes a scratch path that no later plan reads."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here, lost executors cost nothing."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.scratch_path = path
+    return made
+
+
+def discard(*made: DataFrame) -> None:
+    """Removes the tables of cut() that no later plan reads."""
+    for df in made:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release() -> None:
+    """Gives back a worker's free memory, as the next task may run in another one."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +84,7 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def _slices(batch: pa.RecordBatch, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, most: int = 2 << 20):
     """Parts of a batch of about `most` bytes, so that what is made of one stays small."""
     step = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
     for at in range(0, batch.num_rows, step):
@@ -87,7 +105,7 @@ def annotate(
     names = [f.name for f in kept]
 
     def run(batches):
-        for batch in (part for whole in batches for part in _slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole)):
             made = of_batch(batch)
             columns = [batch.column(n) for n in names]
             for f in fields:
@@ -97,10 +115,25 @@ def annotate(
             yield pa.RecordBatch.from_arrays(
                 [c.cast(arrow.field(i).type) for i, c in enumerate(columns)], names=arrow.names
             )
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def where_texts(df: DataFrame, decide: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """The rows of df whose text decide() accepts; nothing but texts goes to Python, and only decisions come back."""
+
+    def accepted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in texts:
+            made = []
+            for a, b in chunks(pc.binary_length(whole).fill_null(0).to_pylist(), 2 << 20):
+                made += decide(whole.slice(a, b - a).to_pylist())
+            yield pa.array(made, pa.bool_())
+        release()
+
+    return df.where(F.arrow_udf(accepted, T.BooleanType())(F.col("text")))
+
+
 def chunks(sizes: list[int], most: int):
     """(start, stop) ranges of rows that together hold at most `most` units, one row at least."""
     start, total = 0, 0

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pressleaf.llm.common import annotate, chunks, held_out
+from pressleaf.llm.common import annotate, chunks, held_out, slices
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -78,7 +78,7 @@ def train(docs: DataFrame, per_language: int = 4000, smoothing: float = 0.5) ->
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 _, h, used = _trigrams(b"\0" + text.encode("utf-8", "surrogatepass") + b"\0")
                 if lang not in total:
@@ -162,9 +162,21 @@ def infer(model: LanguageModel, texts: list[bytes], rounds: int = 8, penalty: fl
     return out
 
 
+def languages_of(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], list[float], list[list[tuple[str, float]]]]:
+    """Language, score (its share) and selected languages with their shares of each text."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    names, scores, sets = [], [], []
+    for a, b in chunks([len(r) for r in raw], CHUNK):
+        for share, text in zip(infer(model, raw[a:b]), texts[a:b], strict=True):
+            found = len(share) and share.max() > 0 and has_letter(text)
+            names.append(model.languages[int(share.argmax())] if found else UNKNOWN)
+            scores.append(min(1.0, float(share.max())) if found else 0.0)
+            sets.append([(model.languages[i], float(share[i])) for i in np.flatnonzero(share)] if found else [])
+    return names, scores, sets
+
+
 def identify(docs: DataFrame, model: LanguageModel, drop: tuple[str, ...] = ()) -> DataFrame:
     """Adds lang_pred, score (share of the predicted language) and languages (the selected set with shares)."""
-    names = np.array([*model.languages, UNKNOWN], dtype=object)
     fields = [
         T.StructField("lang_pred", T.StringType()),
         T.StructField("score", T.DoubleType()),
@@ -172,22 +184,7 @@ def identify(docs: DataFrame, model: LanguageModel, drop: tuple[str, ...] = ())
     ]
 
     def of_batch(batch: pa.RecordBatch) -> dict:
-        texts = batch.column("text").to_pylist()
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        share = np.zeros((len(raw), len(model.languages)))
-        for a, b in chunks([len(r) for r in raw], CHUNK):
-            share[a:b] = infer(model, raw[a:b])
-        if not len(model.languages):
-            pick, score = np.zeros(len(raw), int), np.zeros(len(raw))
-        else:
-            pick, score = share.argmax(1), share.max(1)
-        lettered = [bool(s) and has_letter(t) for s, t in zip(score, texts, strict=True)]
-        pick = np.where(lettered, pick, len(model.languages))
-        sets = [
-            [(model.languages[i], float(row[i])) for i in np.flatnonzero(row)] if ok else []
-            for row, ok in zip(share, lettered, strict=True)
-        ]
-        return {"lang_pred": list(names[pick]), "score": np.where(lettered, np.minimum(score, 1.0), 0.0), "languages": sets}
+        return dict(zip(("lang_pred", "score", "languages"), languages_of(model, batch.column("text").to_pylist()), strict=True))
 
     return annotate(docs, fields, of_batch, drop)
 

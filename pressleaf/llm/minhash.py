@@ -170,6 +170,7 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def node_of(shingles: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+def name_of(shingles: np.ndarray) -> tuple[int, int]:
+    """A 128-bit name of a set, as two signed 64-bit numbers."""
+    name = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return (name >> 64) - (1 << 63), (name & 0xFFFFFFFFFFFFFFFF) - (1 << 63)

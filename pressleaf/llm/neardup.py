@@ -1,16 +1,22 @@
 """Near-duplicate groups by SuperMinHash, banding, exact verification and union-find grouping.
 
-Texts with the same set are one node, so exact copies never meet in a bucket. Nodes of a bucket are first linked to the
-bucket's centre, each link confirmed on the full sets (intersection * 100 >= union * 75); groups of the confirmed links
-are joined by large and small stars. The nodes of a bucket that then still belong to several groups are compared
-exactly, with their full sets in cells of bounded size, and only links that join groups leave a cell. So the work within
-a group of near copies is linear in its size, no pairs are listed, and no link that banding finds is lost.
+Texts with the same set are one node, named by 128 bits of its hash and its size, so exact copies never meet in a bucket.
+Nodes of a bucket are first linked to the bucket's centre, each link confirmed on the full sets (intersection * 100 >=
+union * 75); groups of the confirmed links are joined by large and small stars. Up to here the work within a group is linear
+in its size. Buckets whose nodes then still belong to several groups are compared exactly, those of the same nodes once,
+with their full sets in cells of bounded size: that takes the square of such a bucket's number of nodes, spread over tasks;
+pairs within a group are passed over, and only links that join groups leave a cell. No link that banding finds is lost.
+
+Joins by a key that may be hot (bucket, node, group, centre) are merge joins, which the adaptive planner splits, or dealt
+out by a salt whose number follows the key's size.
 
 With 32 bands of 4 slots a pair at a similarity of exactly 0.75 is missed with a chance of 5e-6.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; fewer than five
 words are one shingle; a null id is in its group but never names it, unless the group has no other; repeated rows have
-equal results; an empty table gives an empty result.
+equal results; several texts under one id are documents of their own; equal similarities need no rule, as every link
+counts; very long texts are hashed whole, in blocks; other columns, whatever their names, are not read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,22 +29,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pressleaf.llm import minhash
-from pressleaf.llm.common import annotate, chunks, cut, table
+from pressleaf.llm.common import annotate, chunks, cut, discard, release, slices, table
 from pressleaf.llm.components import components
 
-#: Bytes of text hashed at once in a task, and nodes of one side of a cell.
-CHUNK, CELL = 2 << 20, 512
+#: Bytes of text hashed at once in a task, nodes of one side of a cell, and shingles beside one centre in a task.
+CHUNK, CELL, BESIDE = 2 << 20, 512, 1 << 20
 
 
 def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """Rows are told apart by id and text; t is the text's hash."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+
+
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (null for an empty set) and bands of every document."""
+    """doc_id, t, n_shingles, the set's name (h1, h2, null for an empty set) and bands of every document."""
     fields = [
         T.StructField("n_shingles", T.LongType()),
-        T.StructField("node", T.LongType()),
+        T.StructField("h1", T.LongType()),
+        T.StructField("h2", T.LongType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
     ]
 
@@ -47,15 +59,14 @@ def features(docs: DataFrame) -> DataFrame:
         out: dict[str, list] = {f.name: [] for f in fields}
         for a, b in chunks([len(r) for r in raw], CHUNK):
             sets = minhash.shingle_sets(raw[a:b])
-            sig = minhash.signatures(sets)
-            keys = minhash.band_keys(sig)
+            keys = minhash.band_keys(minhash.signatures(sets))
             for i, s in enumerate(sets):
-                out["n_shingles"].append(len(s))
-                out["node"].append(minhash.node_of(s) if len(s) else None)
-                out["bands"].append(keys[i] if len(s) else None)
+                name = minhash.name_of(s) if len(s) else (None, None)
+                for column, value in zip(out, (len(s), *name, keys[i] if len(s) else None), strict=True):
+                    out[column].append(value)
         return out
 
-    return annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fields, of_batch, drop=("text",))
+    return annotate(_rows(docs), fields, of_batch, drop=("text",))
 
 
 def _similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -63,54 +74,59 @@ def _similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= 75 * (len(a) + len(b) - common)
 
 
-def _sizes_allow(x: str, y: str):
-    """What the sizes alone rule out: the intersection is the smaller set at most, the union the larger at least."""
-    return F.expr(f"100 * least({x}, {y}) >= 75 * greatest({x}, {y})")
-
-
 def shingles_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node and shingles (its whole set) of the wanted nodes, from their representatives' texts."""
-    reps = cut(wanted.join(nodes, "node").select("rep").distinct(), "neardup-reps")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = source.join(reps, source["doc_id"].eqNullSafe(reps["rep"]), "left_semi").select("text")
-    fields = [T.StructField("node", T.LongType()), T.StructField("shingles", T.BinaryType())]
-
-    def of_batch(batch: pa.RecordBatch) -> dict:
-        raw = [_raw(t) for t in batch.column("text").to_pylist()]
-        out: dict[str, list] = {"node": [], "shingles": []}
-        for a, b in chunks([len(r) for r in raw], CHUNK):
-            for s in minhash.shingle_sets(raw[a:b]):
-                out["node"].append(minhash.node_of(s) if len(s) else None)
-                out["shingles"].append(s.tobytes())
-        return out
-
-    sets = cut(annotate(texts, fields, of_batch, drop=("text",)), "neardup-sets")
-    # repeated rows of a text give its set once
-    return sets if sets.count() <= reps.count() else sets.dropDuplicates(["node"])
+    """node and shingles (its whole set) of the wanted nodes, from the text of one of their rows."""
+    reps = wanted.join(nodes, "node").select("node", "h1", "h2", F.col("rep").alias("__rep"), F.col("rep_t").alias("__t"))
+    source = _rows(docs)
+    same = source["doc_id"].eqNullSafe(reps["__rep"]) & (source["t"] == reps["__t"])
+    texts = source.join(reps.hint("merge"), same).select("node", "h1", "h2", "text")
+
+    def run(batches):
+        done = set()  # a task gives each of its nodes once, however often the row is repeated
+        for batch in (part for whole in batches for part in slices(whole, CHUNK)):
+            rows = []
+            sets = minhash.shingle_sets([_raw(t) for t in batch.column(3).to_pylist()])
+            for node, h1, h2, found in zip(*(batch.column(i).to_pylist() for i in range(3)), sets, strict=True):
+                if node not in done and (h1, h2) == minhash.name_of(found):
+                    done.add(node)
+                    rows.append((node, found.tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["node", "shingles"])
+        release()
+
+    return cut(texts.mapInArrow(run, "node bigint, shingles binary"), "neardup-sets")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
+    """The pairs (u, v) whose full sets are similar enough.
+
+    A task gets the set of v once and then those of its partners; a v with many of them is dealt to several tasks.
+    """
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     sets = shingles_of(wanted, nodes, docs)
+    sized = pairs.join(nodes.select(F.col("node").alias("u"), "size"), "u")
+    hubs = cut(sized.groupBy("v").agg(F.ceil(F.sum("size") / BESIDE).cast("int").alias("salts")), "neardup-hubs")
+    centres = hubs.join(sets.withColumnRenamed("node", "v"), "v").select(
+        "v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("u"), "shingles"
+    )
+    partners = pairs.join(hubs.hint("merge"), "v").join(sets.withColumnRenamed("node", "u"), "u")
+    partners = partners.select("v", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int").alias("salt"), "u", "shingles")
 
     def confirm(batches):
-        last, held = None, None
+        held = None
         for batch in batches:
-            us, vs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for i, (v, a, b) in enumerate(zip(vs, batch.column(2), batch.column(3), strict=True)):
-                if v != last:
-                    last, held = v, np.frombuffer(b.as_py(), np.uint64)
-                if _similar(np.frombuffer(a.as_py(), np.uint64), held):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([us[i] for i in keep], pa.int64()), pa.array([vs[i] for i in keep], pa.int64())], names=["u", "v"]
-            )
-
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
-    both = both.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
-    return both.mapInArrow(confirm, "u bigint, v bigint")
+            kept = []
+            for v, u, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                found = np.frombuffer(x.as_py(), np.uint64)
+                if u is None:
+                    held = found
+                elif _similar(found, held):
+                    kept.append((u, v))
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in kept], pa.int64()), pa.array([v for _, v in kept], pa.int64())], names=["u", "v"])
+        release()
+
+    stream = centres.unionByName(partners).repartition("v", "salt").sortWithinPartitions("v", "salt", F.col("u").asc_nulls_first())
+    return stream.mapInArrow(confirm, "u bigint, v bigint")
 
 
 def cell_links(sets: list[np.ndarray], component: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -169,55 +185,66 @@ def _cells(members: DataFrame) -> DataFrame:
     return cells.groupBy("key", "row", "col").applyInPandas(compare, "u bigint, v bigint")
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+def _labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, t, n_shingles and, for sets that aren't empty, component (a node) and component_id of every document."""
     made = cut(features(docs), "neardup-features")
-    nodes = cut(
-        made.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size")), "neardup-nodes"
-    )
-    # one row for each node: that of its representative
-    one = made.join(nodes, (made["node"] == nodes["node"]) & made["doc_id"].eqNullSafe(nodes["rep"]), "left_semi")
-    rows = one.select(F.explode("bands").alias("key"), "node", F.col("n_shingles").alias("size"))
-    buckets = cut(
-        rows.groupBy("key")
-        .agg(F.min("node").alias("first"), F.max("node").alias("last"), F.min(F.struct(F.xxhash64("node"), "node", "size")).alias("c"), F.count("*").alias("n"))
-        .where("first <> last")
-        .select("key", "n", F.col("c.node").alias("centre"), F.col("c.size").alias("centre_size")),
-        "neardup-buckets",
+    # one row of each node stands for it; numbers of nodes are fixed as they are written
+    nodes = (
+        made.where("h1 is not null")
+        .groupBy("h1", "h2", F.col("n_shingles").alias("size"))
+        .agg(F.min("doc_id").alias("rep"), F.min_by("t", F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("rep_t"))
     )
-    members = cut(rows.join(buckets, "key"), "neardup-members")
-    star = members.where(_sizes_allow("size", "centre_size") & (F.col("node") != F.col("centre")))
-    star = cut(star.select("node", "centre").distinct(), "neardup-star")
-    pairs = cut(_ordered(star.select(F.col("node").alias("u"), F.col("centre").alias("v"))), "neardup-pairs")
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "neardup-nodes")
+    names = [made[c] == nodes[c] for c in ("h1", "h2")]
+    one = made.join(nodes, [*names, made["doc_id"].eqNullSafe(nodes["rep"]), made["t"] == nodes["rep_t"]])
+    rows = one.select(F.explode("bands").alias("key"), "node")
+    buckets = cut(rows.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.count("*").alias("n")).where("centre <> last"), "neardup-buckets")
+    members = cut(rows.join(buckets.hint("merge"), "key").select("key", "n", "node", "centre"), "neardup-members")
+    pairs = cut(members.where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct(), "neardup-pairs")
     links = cut(verified(pairs, nodes, docs), "neardup-links")
     joined = cut(components(links), "neardup-components")
 
     # buckets of several groups; where there were two nodes only, their one pair is settled
-    rows = (
-        members.where("n > 2").join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    )
-    several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    opened = cut(rows.join(several.select("key"), "key", "left_semi"), "neardup-open")
+    rows = members.where("n > 2").join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    several = rows.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"),
+        F.min("node").alias("first"), F.max("node").alias("last"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"),
+    )
+    # buckets of the same nodes are compared once
+    several = several.where("low <> high").groupBy("n", "first", "last", "sum").agg(F.min("key").alias("key")).select("key", "n")
+    opened = cut(rows.join(several.hint("merge"), "key"), "neardup-open")
+    discard(buckets, members, pairs)
     if opened.head(1):
         sets = shingles_of(opened.select("node").distinct(), nodes, docs)
-        more = cut(_ordered(_cells(opened.join(sets, "node"))), "neardup-crossing")
+        more = cut(_cells(opened.join(sets, "node")), "neardup-crossing")
         # the groups so far are stars already, so few rounds are left
         stars = joined.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
         joined = cut(components(stars.unionByName(more)), "neardup-components")
+        discard(sets, more)
+    discard(opened)
 
-    named = nodes.join(joined, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    named = nodes.join(joined, "node", "left").select("h1", "h2", "rep", F.coalesce("component", "node").alias("component"))
     least = cut(named.groupBy("component").agg(F.min("rep").alias("component_id")), "neardup-least")
-    final = cut(named.join(least, "component").select("node", "component_id"), "neardup-names")
-    return made.join(final, "node", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(F.col("node").isNull(), True).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"),
-    )
+    final = cut(named.join(least.hint("merge"), "component").select("h1", "h2", "component", "component_id"), "neardup-names")
+    return made.join(final.hint("merge"), ["h1", "h2"], "left").select("doc_id", "t", "n_shingles", "component", "component_id")
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    empty = F.col("component").isNull()
+    name = F.when(empty, F.col("doc_id")).otherwise(F.col("component_id"))
+    return _labelled(docs).select("doc_id", "n_shingles", name.alias("component_id"), (empty | F.col("doc_id").eqNullSafe(name)).alias("kept"))
+
+
+def survivors(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keys (__id, __t: the text's hash) of the rows that stay when each group keeps one; the second table has those of repeated rows."""
+    rows = _labelled(docs).groupBy(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).agg(F.first("component").alias("component"), F.count("*").alias("n"))
+    rows = cut(rows, "neardup-rows")
+    best = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__t", "n")).alias("best")
+    chosen = rows.where("component is not null").groupBy("component").agg(best).select("best.*")
+    keys = chosen.select("__id", "__t", "n").unionByName(rows.where("component is null").select("__id", "__t", F.lit(1).cast("long").alias("n")))
+    keys = cut(keys, "neardup-kept")
+    return tuple(cut(keys.where(which).select("__id", "__t"), "neardup-kept") for which in ("n = 1", "n > 1"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

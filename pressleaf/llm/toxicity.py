@@ -31,6 +31,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 ROOTS = (4, 5, 6, 7)
 #: Most words whose score a task remembers.
 REMEMBERED = 300_000
+#: Texts of this score or more are predicted to be toxic.
+TOXIC = 0.5
 
 
 @dataclass(frozen=True)
@@ -272,6 +274,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2)
     return max(0.0, float(beta[0])), float(beta[1])
 
 
+class Scorer:
+    """(score, passages) of texts; a task's words are remembered, and nothing of that is sent along."""
+
+    def __init__(self, model: ToxicityModel):
+        self.model, self.remembered = model, None
+
+    def __getstate__(self) -> dict:
+        return {"model": self.model, "remembered": None}
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, int, float, float]]]]:
+        if self.remembered is None:
+            self.remembered = token_scores(self.model)
+        found = [passages(self.model, t, self.remembered) for t in texts]
+        return [(probability(self.model, evidence(p)), p) for p in found]
+
+
 def score(docs: DataFrame, model: ToxicityModel, drop: tuple[str, ...] = ()) -> DataFrame:
     """Adds score, predicted and passages (token spans with score and expected number by chance)."""
     span = T.StructType(
@@ -288,18 +306,14 @@ def score(docs: DataFrame, model: ToxicityModel, drop: tuple[str, ...] = ()) ->
         T.StructField("passages", T.ArrayType(span)),
     ]
     keys = ("start", "stop", "score", "expected")
-
-    remembered: list[_Scores] = []  # one for each task
+    scorer = Scorer(model)
 
     def of_batch(batch: pa.RecordBatch) -> dict:
-        if not remembered:
-            remembered.append(token_scores(model))
-        found = [passages(model, t, remembered[0]) for t in batch.column("text").to_pylist()]
-        scores = [probability(model, evidence(p)) for p in found]
+        found = scorer(batch.column("text").to_pylist())
         return {
-            "score": scores,
-            "predicted": [int(s >= 0.5) for s in scores],
-            "passages": [[dict(zip(keys, p, strict=True)) for p in ps] for ps in found],
+            "score": [s for s, _ in found],
+            "predicted": [int(s >= TOXIC) for s, _ in found],
+            "passages": [[dict(zip(keys, p, strict=True)) for p in ps] for _, ps in found],
         }
 
     return annotate(docs, fields, of_batch, drop)

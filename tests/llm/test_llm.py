@@ -2,6 +2,7 @@
 
 import array
 import base64
+import functools
 import gzip
 import hashlib
 import math
@@ -42,17 +43,27 @@ def empty(docs):
     return docs.where("false")
 
 
-def ids_of(text):
+@functools.cache
+def library():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return array.array("I", [*t.encode(text or "", add_special_tokens=False).ids, 2])
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def ids_of(text):
+    return array.array("I", [*library().encode(text or "", add_special_tokens=False).ids, 2])
 
 
 def test_encoder_equals_whole_texts(docs):
-    texts = [r["text"] for r in docs.collect()] + ["<|endoftext|> it's  1,234\n\n x", "   ", "naïve 東京\r\n"]
+    texts = [r["text"] for r in docs.collect()] + ["<|endoftext|> it's  1,234\n\n x", "   ", "naïve 東京\r\n", "a <|endoftext|> b", "b <|endoftext|>", "<|endoftext|><|endoftext|>\n", "<|endoftext", "x² ½ \x1c \x85ɏɐ_1"]
+    assert tokens.encoder().batch(texts) == [ids_of(t).tobytes() for t in texts]
+
+
+def test_encoder_on_random_texts():
+    rng = random.Random(11)
+    parts = [" ", "\n", "a", "b", "<|endoftext|>", "it's", " 'll", "1", "!", "\xa0", "\t", "\x1c", "\u3000", "é", "東", "\r\n", "\x85", "½", "_", "ß", "×", "ª"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
     assert tokens.encoder().batch(texts) == [ids_of(t).tobytes() for t in texts]
 
 
@@ -427,21 +438,69 @@ def test_units_without_pieces():
     assert len({s[0].tobytes() for s in found}) == 3
 
 
-def test_pipeline_stages(spark, docs):
-    import corpus_pipeline
-
+@pytest.fixture(scope="module")
+def corpus(docs, spark):
+    """The fixture's rows, enough text for a model, and near copies under repeated, shared and null ids."""
     rng = random.Random(8)
-    # enough text for a model; the fixture's rows go through every stage
-    more = spark.createDataFrame([(1000 + i, prose(rng, 40), "en", "s", 1) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
-    source = docs.drop("score").unionByName(more)
-    kept = pipeline.language(spark, source, "")
-    assert kept.columns == source.columns and kept.where("text is null or trim(text) = ''").count() == 0
-    assert kept.where("doc_id >= 1000").count() == 40
-    single = pipeline.near_duplicates(spark, source, "")
-    groups = neardup.groups(source)
-    assert single.columns == source.columns
-    assert single.where("doc_id is not null").count() == groups.where("kept and doc_id is not null").select("doc_id").distinct().count()
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "toxicity", "near_duplicates", "packing"]
+    rows = [(1000 + i, prose(rng, 40), "en", "s", 1) for i in range(40)]
+    w, other, third = (prose(rng, 50) for _ in range(3))
+    rows += [(2003, w, "en", "a", 1), (2005, w + " tail", "en", "s", 1), (2005, other, "en", "s", 1), (None, w + " more", "en", "s", 1), (None, third, "en", "s", 1)]
+    rows += [(2003, w, "en", "a", 1), (2006, w.upper(), None, "s", 1)]
+    return docs.drop("score").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+
+
+def test_pipeline_language(spark, corpus):
+    kept = pipeline.language(spark, corpus, "")
+    named = langid.identify(corpus, langid.train(corpus)).where("lang_pred <> 'und'")
+    key = lambda df: Counter(tuple(r) for r in df.select(*corpus.columns).collect())
+    assert kept.columns == corpus.columns and key(kept) == key(named) and kept.where("doc_id >= 1000").count() == 45
+    assert kept.where("text is null or trim(text) = ''").count() == 0
+    assert pipeline.language(spark, corpus.where("false"), "").count() == 0
+
+
+def test_pipeline_toxicity(spark, corpus, tmp_path):
+    rng = random.Random(4)
+    rows = [(5000 + i, prose(rng, 30) + (" vile scorn" if i % 4 == 0 else ""), "en", "s", 1) for i in range(400)]
+    source = corpus.unionByName(spark.createDataFrame(rows, corpus.schema))
+    spark.createDataFrame([(5000 + i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = pipeline.toxic(spark, source, f"file://{tmp_path}")
+    assert kept.columns == source.columns
+    ids = {r["doc_id"] for r in kept.where("doc_id >= 5000").select("doc_id").collect()}
+    assert len(ids ^ {5000 + i for i in range(400) if i % 4}) < 5 and kept.where("doc_id < 5000 or doc_id is null").count() == corpus.count()
+    assert pipeline.toxic(spark, source.where("false"), f"file://{tmp_path}").count() == 0
+
+
+def test_pipeline_near_duplicates(spark, corpus):
+    """One row of each group by brute force: the smallest id's, one with an id before one without; rows without words all stay."""
+    rows = [tuple(r) for r in corpus.collect()]
+    word, low = re.compile(r"[^\x20\x09-\x0D]+"), {i: i + 32 for i in range(65, 91)}
+    sets = []
+    for r in rows:
+        w = word.findall((r[1] or "").translate(low))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    kept = pipeline.near_duplicates(spark, corpus, "")
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert kept.columns == corpus.columns
+    for g in set(group):
+        own = [(r[0], r[1]) for r, x in zip(rows, group, strict=True) if x == g]
+        if not sets[group.index(g)]:
+            assert all(got[r] for r in own)
+            continue
+        assert sum(got[r] for r in set(own)) == 1
+        best = min((d is None, d or 0) for d, _ in own)
+        assert any(got[(d, t)] and (d is None, d or 0) == best for d, t in own)
+    assert sum(got.values()) == sum(len([x for x in group if x == g]) if not sets[group.index(g)] else 1 for g in set(group))
+    assert pipeline.near_duplicates(spark, corpus.where("false"), "").count() == 0
+
+
+def test_pipeline_packing(spark, corpus):
+    got = pipeline.pack(spark, corpus, "")
+    assert got.where("piece = 0").count() == corpus.count() and pipeline.pack(spark, corpus.where("false"), "").count() == 0
 
 
 def test_pipeline_runs_on_few_rows(spark, docs, tmp_path):
@@ -449,5 +508,6 @@ def test_pipeline_runs_on_few_rows(spark, docs, tmp_path):
 
     docs.drop("score").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(8, 1), (9, 0), (13, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "toxicity", "near_duplicates", "packing"]
     made = corpus_pipeline.run(spark, f"file://{tmp_path}")
     assert made.count() > 0 and "sequence_id" in made.columns
