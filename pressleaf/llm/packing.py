@@ -14,44 +14,45 @@ an empty result.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressleaf.llm.common import chunks, cut, table
+from pressleaf.llm.common import cut, release, slices, table
 from pressleaf.llm.tokens import encoder
 
 CAPACITY = 1024
 #: Bytes of text tokenised at once in a task.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
-    """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of every piece."""
+def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k.json", ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and, if wanted, ids (little-endian unsigned 32-bit) of every piece."""
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 6 if ids else 5]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(kinds)]
 
     def run(batches):
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks([len(t or "") for t in texts], CHUNK):
-                rows = []
-                for doc, data in zip(ids[a:b], encoder(vocabulary).batch(texts[a:b]), strict=True):
-                    n, at = len(data) // 4, 0
-                    stop = n % capacity or capacity
-                    k = 0
-                    while at < n:
-                        stop = min(stop, n)
-                        rows.append((doc, k, at, stop - at, data[4 * at : 4 * stop]))
-                        at, stop, k = stop, stop + capacity, k + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
-                    names=["doc_id", "piece", "start", "length", "ids"],
-                )
-
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        for batch in (part for whole in batches for part in slices(whole, CHUNK)):
+            rows = []
+            texts = batch.column(1).to_pylist()
+            for doc, data in zip(batch.column(0).to_pylist(), encoder(vocabulary).batch(texts), strict=True):
+                n, at = len(data) // 4, 0
+                stop = n % capacity or capacity
+                k = 0
+                while at < n:
+                    own = data[4 * at : 4 * stop]
+                    rows.append((doc, k, at, stop - at, zlib.crc32(own), own)[: len(kinds)])
+                    at, stop, k = stop, stop + capacity, k + 1
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        release()
+
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids binary")
+    return source.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * ids)
 
 
 def best_fit(lengths: list[int], capacity: int, rooms: list[int] | None = None) -> tuple[list[int], list[int]]:
@@ -208,8 +209,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, block: int = 4096, islands:
 
 def packed(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Every piece of docs with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    made = pieces(docs, capacity).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    rows = cut(made.withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    rows = cut(pieces(docs, capacity, ids=False).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     return rows.join(pack(rows, capacity), "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

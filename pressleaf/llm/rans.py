@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressleaf.llm.common import chunks, cut, scratch, table
+from pressleaf.llm.common import chunks, cut, scratch, slices, table
 from pressleaf.llm.tokens import encoder
 
 MAGIC = b"RANS1\0"
@@ -204,19 +204,17 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json") ->
             held.clear()
 
         size = 0
-        for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks([len(t or "") for t in texts], 4 << 20):
-                if out is None:
-                    place.create_dir(folder, recursive=True)
-                    out = place.open_output_stream(own)
-                for d, x in zip(names[a:b], encoder(vocabulary).batch(texts[a:b]), strict=True):
-                    if held and size + len(x) // 4 > SEGMENT:
-                        flush()
-                        size = 0
-                    held.append((d, x))
-                    size += len(x) // 4
-                    n_docs, n_ids = n_docs + 1, n_ids + len(x) // 4
+        for batch in (part for whole in batches for part in slices(whole, 1 << 20)):
+            if out is None:
+                place.create_dir(folder, recursive=True)
+                out = place.open_output_stream(own)
+            for d, x in zip(batch.column(0).to_pylist(), encoder(vocabulary).batch(batch.column(1).to_pylist()), strict=True):
+                if held and size + len(x) // 4 > SEGMENT:
+                    flush()
+                    size = 0
+                held.append((d, x))
+                size += len(x) // 4
+                n_docs, n_ids = n_docs + 1, n_ids + len(x) // 4
         if out is not None:
             if held:
                 flush()
