@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -64,67 +65,91 @@ def number(text: str) -> str:
     return ("+" if text[0] == "+" else "") + ("0" if shown == "-0" else shown)
 
 
+@dataclass
+class _Block:
+    """An open block: what closes it, what goes around it, and the at-rule, property and function it stands in."""
+
+    closer: str | None
+    before: str
+    after: str
+    rule: str
+    prop: str
+    function: str
+    dropped: bool = False
+    out: list[str] = field(default_factory=list)
+
+    def __post_init__(self):
+        self.now = self.rule  # the at-rule whose statement goes on
+
+    def made(self) -> str:
+        made = "".join(self.out)
+        return made if made.strip(" \t\n\r\f") else ""
+
+
 class _Rewriter:
     """fetch(address, imported): the replacement address, or None to drop it; imported sheets come rewritten."""
 
     def __init__(self, text: str, fetch: Callable[[str, bool], str | None], no_images: bool, no_fonts: bool):
-        self.tokens = list(_TOKEN.finditer(text))
-        self.at = 0
+        self.text = text
         self.fetch, self.no_images, self.no_fonts = fetch, no_images, no_fonts
 
-    def block(self, closer: str | None, rule: str, prop: str, function: str) -> str:
-        out: list[str] = []
-        now, outer = rule, rule
-        while self.at < len(self.tokens):
-            m = self.tokens[self.at]
-            self.at += 1
+    def run(self) -> str:
+        """Blocks are kept on a stack of their own, so that deeply nested ones are no trouble."""
+        blocks = [_Block(None, "", "", "", "", "")]
+
+        def close() -> None:
+            b = blocks.pop()
+            if b.dropped:
+                blocks[-1].now = ""
+            else:
+                blocks[-1].out.append(b.before + b.made() + b.after)
+
+        for m in _TOKEN.finditer(self.text):
+            b = blocks[-1]
             kind, text = m.lastgroup, m[0]
-            kind = next(k for k in ("comment", "space", "cdo", "cdc", "string", "badstring", "url", "badurl", "dimension", "percent", "number", "function", "at", "ident", "hash", "match", "open", "close", "delim") if m[k] is not None)
-            dropped = self.no_fonts and now == "font-face"
             if kind == "close":
-                if text == closer:
-                    break
-                out.append(text)
-            elif kind == "open":
-                inner = self.block(_CLOSER[text], outer, prop, function)
-                if dropped:
-                    now = ""
+                if text == b.closer:
+                    close()
                 else:
-                    out.append(text + inner + _CLOSER[text])
+                    b.out.append(text)
+            elif kind == "open":
+                dropped = self.no_fonts and b.now == "font-face"
+                blocks.append(_Block(_CLOSER[text], text, _CLOSER[text], b.rule, b.prop, b.function, dropped))
+            elif kind == "function":
+                name = unescape(m["fname"])
+                blocks.append(_Block(")", ident(name) + "(", ")", b.now, b.prop, name))
             elif kind == "ident":
-                now, prop = "", unescape(text)
-                out.append(ident(prop))
+                b.now, b.prop = "", unescape(text)
+                b.out.append(ident(b.prop))
             elif kind == "at":
-                now = unescape(m["aname"])
-                if not (self.no_fonts and now == "font-face"):
-                    out.append("@" + now)
+                b.now = unescape(m["aname"])
+                if not (self.no_fonts and b.now == "font-face"):
+                    b.out.append("@" + b.now)
             elif kind == "hash":
                 name = unescape(m["hname"])
                 if re.fullmatch(_IDENT, m["hname"]):
-                    now = ""
-                    out.append("#" + ident(name))
+                    b.now = ""
+                    b.out.append("#" + ident(name))
                 else:
-                    out.append("#" + name)
+                    b.out.append("#" + name)
             elif kind == "string":
                 value = unescape(text[1:-1] if len(text) > 1 and text[-1] == text[0] else text[1:])
-                out.append(self.address(value, now == "import", prop) if now == "import" or function == "url" else quote(value))
-            elif kind in ("url", "badurl"):
-                if kind == "url":
-                    value = unescape(m["address"])
-                    got = self.address(value, now == "import", prop) if value else ""
-                    out.append(text if value.startswith("#") else f"url({got})")
+                imported = b.now == "import"
+                b.out.append(self.address(value, imported, b.prop) if imported or b.function == "url" else quote(value))
+            elif kind == "url":
+                value = unescape(m["address"])
+                got = self.address(value, b.now == "import", b.prop) if value else ""
+                b.out.append(text if value.startswith("#") else f"url({got})")
             elif kind in ("number", "percent", "dimension"):
                 lead = number(m["dnum"] or m["pnum"] or m["number"])
-                out.append(lead + ("%" if kind == "percent" else unescape(m["unit"]) if kind == "dimension" else ""))
-            elif kind == "function":
-                name = unescape(m["fname"])
-                out.append(f"{ident(name)}({self.block(')', now, prop, name)})")
-            elif kind != "badstring":
+                b.out.append(lead + ("%" if kind == "percent" else unescape(m["unit"]) if kind == "dimension" else ""))
+            elif kind not in ("badstring", "badurl"):
                 if text in ("*", ";"):  # a new selector or statement: no at-rule goes on
-                    now = "" if text == "*" or now != "font-face" else now
-                out.append(text)
-        made = "".join(out)
-        return made if made.strip(" \t\n\r\f") else ""
+                    b.now = "" if text == "*" or b.now != "font-face" else b.now
+                b.out.append(text)
+        while len(blocks) > 1:
+            close()
+        return blocks[0].made()
 
     def address(self, value: str, imported: bool, prop: str) -> str:
         if not value:
@@ -138,7 +163,7 @@ class _Rewriter:
 
 
 def rewrite(text: str, fetch: Callable[[str, bool], str | None], no_images: bool = False, no_fonts: bool = False) -> str:
-    return _Rewriter(text, fetch, no_images, no_fonts).block(None, "", "", "")
+    return _Rewriter(text, fetch, no_images, no_fonts).run()
 
 
 def references(text: str) -> list[tuple[str, bool]]:

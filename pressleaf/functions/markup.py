@@ -18,17 +18,19 @@ EMPTY_IMAGE = (
     "%09%18G%A5%28%96%02%00%0A%F8%00%0E%CB%8A%EB%16%00%00%00%00IEND%AEB%60%82"
 )
 # Event handler attributes of the HTML standard.
-EVENTS = tuple(
-    "on" + x
-    for x in (
-        "abort auxclick blur cancel canplay canplaythrough change click close contextmenu cuechange dblclick drag dragend dragenter dragexit "
-        "dragleave dragover dragstart drop durationchange emptied ended error focus formdata input invalid keydown keypress keyup load loadeddata "
-        "loadedmetadata loadstart mousedown mouseenter mouseleave mousemove mouseout mouseover mouseup wheel pause play playing progress ratechange "
-        "reset resize scroll securitypolicyviolation seeked seeking select slotchange stalled submit suspend timeupdate toggle volumechange waiting "
-        "webkitanimationend webkitanimationiteration webkitanimationstart webkittransitionend afterprint beforeprint beforeunload hashchange "
-        "languagechange message messageerror offline online pagehide pageshow popstate rejectionhandled storage unhandledrejection unload cut copy paste"
-    ).split()
-)
+EVENTS = (
+    "onabort", "onauxclick", "onblur", "oncancel", "oncanplay", "oncanplaythrough", "onchange", "onclick", "onclose",
+    "oncontextmenu", "oncuechange", "ondblclick", "ondrag", "ondragend", "ondragenter", "ondragexit", "ondragleave", "ondragover",
+    "ondragstart", "ondrop", "ondurationchange", "onemptied", "onended", "onerror", "onfocus", "onformdata", "oninput",
+    "oninvalid", "onkeydown", "onkeypress", "onkeyup", "onload", "onloadeddata", "onloadedmetadata", "onloadstart", "onmousedown",
+    "onmouseenter", "onmouseleave", "onmousemove", "onmouseout", "onmouseover", "onmouseup", "onwheel", "onpause", "onplay",
+    "onplaying", "onprogress", "onratechange", "onreset", "onresize", "onscroll", "onsecuritypolicyviolation", "onseeked",
+    "onseeking", "onselect", "onslotchange", "onstalled", "onsubmit", "onsuspend", "ontimeupdate", "ontoggle", "onvolumechange",
+    "onwaiting", "onwebkitanimationend", "onwebkitanimationiteration", "onwebkitanimationstart", "onwebkittransitionend",
+    "onafterprint", "onbeforeprint", "onbeforeunload", "onhashchange", "onlanguagechange", "onmessage", "onmessageerror",
+    "onoffline", "ononline", "onpagehide", "onpageshow", "onpopstate", "onrejectionhandled", "onstorage", "onunhandledrejection",
+    "onunload", "oncut", "oncopy", "onpaste",
+)
 # CSS properties whose url() is a picture; the last six belong to @counter-style.
 IMAGE_PROPERTIES = (
     "background", "background-image", "border-image", "border-image-source", "content", "cursor", "list-style",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import ipaddress
 import re
 from dataclasses import dataclass, replace
 
@@ -48,8 +49,13 @@ def _encode(text: str, extra: str) -> str:
 
 
 def _host(text: str) -> str | None:
-    if not text or text.startswith("["):
-        return text.lower() or None
+    if text.startswith("["):
+        try:
+            return f"[{ipaddress.IPv6Address(text[1:-1]).compressed}]" if text.endswith("]") else None
+        except ValueError:
+            return None
+    if not text:
+        return None
     try:
         decoded = re.sub(r"((?:%[0-9A-Fa-f]{2})+)", lambda m: bytes.fromhex(m[1].replace("%", "")).decode("utf-8"), text)
         host = decoded.lower() if decoded.isascii() else decoded.lower().encode("idna").decode()
@@ -196,6 +202,13 @@ def referer(url: str) -> str:
     return str(replace(found, userinfo="", fragment=None)) if found else clean(url)
 
 
+def referer_for(parent: str | None, url: str) -> str | None:
+    """What a request for url states as its referer: the parent, if that is on the web and another address."""
+    if parent is None or not parent.startswith(("http:", "https:")) or parent == url:
+        return None
+    return referer(parent)
+
+
 def has_protocol(text: str) -> bool:
     return parse(text) is not None
 

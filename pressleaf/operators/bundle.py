@@ -7,6 +7,7 @@ each page then is rewritten once with the assets that it needs.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -18,6 +19,9 @@ from pressleaf.functions import css, markup, media, urls
 from pressleaf.options import Options
 from pressleaf.sources import html as dom
 
+#: Pages that one copy of an asset's bytes serves.
+USERS = 10_000
+_LOG = pa.list_(pa.struct([("url", pa.string()), ("status", pa.string())]))
 #: Script types that are inlined as text.
 PLAIN_SCRIPTS = (None, "text/javascript", "application/javascript")
 
@@ -213,8 +217,7 @@ class _Walk:
                 if value is not None:
                     x.set(name, markup.EMPTY_IMAGE)
         elif not src and not lazy:
-            if src is not None or lazy is not None:
-                x.set("src", "")
+            x.set("src", "")
         else:
             self.embed(x, "src", lazy or src)
         if many:
@@ -363,7 +366,6 @@ def _rewritten(html: str | bytes, url: str | None, session: Session, charset: st
             base = str(given)
     elif own:
         base = urls.resolve(target, own)
-        base = target if base == "data:," or base.startswith("file:") and not target.startswith("file:") else base
     _Walk(session, base, 0, (urls.clean(target),)).tree(document)
     if options.base_url is not None:
         dom.set_base_url(document, options.base_url)
@@ -390,10 +392,11 @@ def _nothing(key: str) -> None:
     return None
 
 
-def page_uses(html: str, url: str | None, options: Options | None = None) -> list[tuple[str, str]]:
+def page_uses(html: str | bytes, url: str | None, options: Options | None = None, charset: str | None = None) -> list[tuple[str, str]]:
     """Cleaned addresses that the page asks the catalog for and what as, each pair once, in order."""
     session = Session(_nothing, options or Options())
-    _rewritten(html, url, session)
+    with contextlib.suppress(Exception):  # what a broken page asks for up to there; its error is told where it is rewritten
+        _rewritten(html, url, session, charset or "utf-8")
     return list(session.uses)
 
 
@@ -405,29 +408,47 @@ def references(html: str, url: str | None, options: Options | None = None) -> li
 def asset_uses(asset: Asset, use: str, options: Options | None = None) -> list[tuple[str, str]]:
     """What an asset refers to in turn, read as the rewriter reads it: by its use, whatever its media type."""
     session = Session(_nothing, options or Options())
-    if use == "frame":
-        _Walk(session, asset.final_url, 0, ()).tree(dom.parse(media.decode(asset.data, asset.charset)))
-    elif use:
-        embed_css(session, asset.final_url, asset.data.decode("utf-8", "replace") if use == "import" else media.decode(asset.data, asset.charset))
+    with contextlib.suppress(Exception):
+        if use == "frame":
+            _Walk(session, asset.final_url, 0, ()).tree(dom.parse(media.decode(asset.data, asset.charset)))
+        elif use:
+            embed_css(session, asset.final_url, asset.data.decode("utf-8", "replace") if use == "import" else media.decode(asset.data, asset.charset))
     return list(session.uses)
 
 
+def _sources(pages: DataFrame) -> DataFrame:
+    """page_id, url, html (text or bytes), media_type and charset; the last two may be missing: HTML, UTF-8."""
+    optional = [(F.col(c) if c in pages.columns else F.lit(None).cast("string")).alias(c) for c in ("media_type", "charset")]
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", *optional)
+
+
+def is_html(media_type: str | None) -> bool:
+    """Other types are passed through as they are."""
+    return not media_type or media_type.lower() in media.HTML
+
+
+def _uses_of(batch: pa.RecordBatch, options: Options):
+    for page, url, html, kind, charset in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        if is_html(kind):
+            yield page, page_uses(html or "", url, options, charset)
+
+
 def page_references(pages: DataFrame, options: Options | None = None) -> DataFrame:
-    """page_id, seq, url_key of what every page refers to; null html refers to nothing."""
+    """page_id, seq, url_key of what every page refers to; null html and other media types refer to nothing."""
+    options = options or Options()
 
     def run(batches):
         for batch in batches:
-            rows = [
-                (page, i, key)
-                for page, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)
-                for i, key in enumerate(references(html or "", url, options))
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())],
-                names=["page_id", "seq", "url_key"],
-            )
+            rows = [(page, i, key) for page, uses in _uses_of(batch, options) for i, key in enumerate(dict.fromkeys(k for k, _ in uses))]
+            kinds = {"page_id": pa.int64(), "seq": pa.int32(), "url_key": pa.string()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id bigint, seq int, url_key string")
+    return _sources(pages).mapInArrow(run, "page_id bigint, seq int, url_key string")
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """A checkpoint where the session has a folder for them, else a cached table."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
 def needed_assets(pages: DataFrame, assets: DataFrame, options: Options | None = None) -> DataFrame:
@@ -439,11 +460,7 @@ def needed_assets(pages: DataFrame, assets: DataFrame, options: Options | None =
 
     def of_pages(batches):
         for batch in batches:
-            rows = [
-                (page, *x)
-                for page, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)
-                for x in page_uses(html or "", url, options)
-            ]
+            rows = [(page, *x) for page, uses in _uses_of(batch, options) for x in uses]
             kinds = (pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["page_id", "url_key", "use"])
 
@@ -456,55 +473,73 @@ def needed_assets(pages: DataFrame, assets: DataFrame, options: Options | None =
 
     known = assets.select("url_key").distinct()
     bytes_of = assets.select("url_key", "final_url", "charset", "data")
-    level = pages.select("page_id", "url", "html").mapInArrow(of_pages, "page_id bigint, url_key string, use string")
-    every = level = level.distinct().join(known, "url_key", "left_semi").select("page_id", "url_key", "use").persist()
+    level = _sources(pages).mapInArrow(of_pages, "page_id bigint, url_key string, use string")
+    every = level = _kept(level.distinct().join(known, "url_key", "left_semi").select("page_id", "url_key", "use"))
     for _ in range(options.max_depth):
         inner = level.where("use <> ''")
         if not inner.head(1):
             break
         edges = bytes_of.join(inner.select("url_key", "use").distinct(), "url_key").select("url_key", "final_url", "charset", "data", "use")
         edges = edges.mapInArrow(of_assets, "from_key string, from_use string, to_key string, to_use string").distinct()
-        level = (
+        level = _kept(
             inner.join(edges, (inner["url_key"] == edges["from_key"]) & (inner["use"] == edges["from_use"]))
             .select("page_id", F.col("to_key").alias("url_key"), F.col("to_use").alias("use"))
             .distinct()
             .join(known, "url_key", "left_semi")
             .join(every, ["page_id", "url_key", "use"], "left_anti")
             .select("page_id", "url_key", "use")
-            .persist()
         )
         every = every.unionByName(level)
     return every.select("page_id", "url_key").distinct()
 
 
+def last_assets(assets: DataFrame) -> DataFrame:
+    """One row for each url_key: the last one by `seq` (order of arrival), where there is such a column; ties go to the greatest row."""
+    order = [F.col("seq")] if "seq" in assets.columns else []
+    return assets.groupBy("url_key").agg(F.max(F.struct(*order, "final_url", "media_type", "charset", "data")).alias("a"))
+
+
 def bundle(pages: DataFrame, assets: DataFrame | None = None, options: Options | None = None) -> DataFrame:
-    """page_id, url, title, content, error of every page; an error of a page stays in its row."""
+    """page_id, url, title, content, error and log (what was asked for, and how that went) of every page.
+
+    An error of a page stays in its row. Pages of another media type than HTML are passed through, without a title.
+    MHTML output drops scripts.
+    """
     options = options or Options()
-    source = pages.select("page_id", "url", "html")
+    if options.output_format == "mhtml":
+        options = replace(options, no_js=True)
+    source = _sources(pages)
     if assets is None:
         source = source.withColumn("assets", F.lit(None).cast("array<struct<url_key:string,final_url:string,media_type:string,charset:string,data:binary>>"))
     else:
-        one = assets.groupBy("url_key").agg(F.max_by(F.struct("final_url", "media_type", "charset", "data"), "url_key").alias("a"))
-        wanted = needed_assets(pages, assets, options).join(one, "url_key")
+        needed = _kept(needed_assets(pages, assets, options))
+        # an asset that many pages need goes to several tasks
+        counts = needed.groupBy("url_key").agg(F.ceil(F.count("*") / USERS).cast("int").alias("salts"))
+        one = last_assets(assets).join(counts, "url_key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        wanted = needed.join(counts, "url_key").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.col("salts")).cast("int")).drop("salts")
         # a page's assets end up in its one output row, so they have to fit there anyway
-        lists = wanted.groupBy("page_id").agg(
-            F.collect_list(F.struct("url_key", "a.final_url", "a.media_type", "a.charset", "a.data")).alias("assets")
+        lists = (
+            wanted.join(one, ["url_key", "salt"])
+            .groupBy(F.col("page_id").alias("__page"))
+            .agg(F.collect_list(F.struct("url_key", "a.final_url", "a.media_type", "a.charset", "a.data")).alias("assets"))
         )
-        source = source.join(lists, "page_id", "left")
+        source = source.join(lists, F.col("page_id").eqNullSafe(F.col("__page")), "left").drop("__page")
 
     def run(batches):
         for batch in batches:
-            out = {"page_id": [], "url": [], "title": [], "content": [], "error": []}
-            for page, url, html, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            rows = []
+            for page, url, html, kind, charset, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 catalog = {a["url_key"]: Asset(a["data"] or b"", a["final_url"] or a["url_key"], a["media_type"] or "", a["charset"] or "") for a in own or ()}
-                content = title = error = None
+                content = title = error = log = None
                 try:
-                    content, title, _ = rewrite_page(html or "", url, catalog.get, options)
+                    if is_html(kind):
+                        content, title, log = rewrite_page(html or "", url, catalog.get, options, charset or "utf-8")
+                    else:
+                        content = html.encode() if isinstance(html, str) else html
                 except Exception as e:  # a broken page must not fail the job
                     error = f"{type(e).__name__}: {e}"
-                for k, v in zip(out, (page, url, title, content, error), strict=True):
-                    out[k].append(v)
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+                rows.append((page, url, title, content, error, [{"url": u, "status": x} for u, x in log or ()]))
+            kinds = {"page_id": pa.int64(), "url": pa.string(), "title": pa.string(), "content": pa.binary(), "error": pa.string(), "log": _LOG}
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
 
-    return source.mapInArrow(run, "page_id bigint, url string, title string, content binary, error string")
+    return source.mapInArrow(run, "page_id bigint, url string, title string, content binary, error string, log array<struct<url:string,status:string>>")

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pressleaf.functions import markup, media, urls
-from pressleaf.operators.bundle import bundle, needed_assets, page_references
+from pressleaf.functions import css, markup, media, urls
+from pressleaf.operators.bundle import bundle, last_assets, needed_assets, page_references
 from pressleaf.operators.nodes import dom_nodes
 from pressleaf.options import Options
+from pressleaf.plans import cases, documents
 from pressleaf.sources import cookies as cookie_file
-from pressleaf.sources import sinks
+from pressleaf.sources import html as dom
+from pressleaf.sources import sinks, store
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -47,7 +49,6 @@ COOKIES = (
     "bad.example.com\tTRUE\t/\tFALSE\tsoon\te\t5",
 )
 IMPORTS = (("a.css", "b.css"), ("b.css", "c.css"), ("c.css", "a.css"), ("x.css", "y.css"))
-SRCSETS = ("a.png 1x, b.png 2x", "a.png", "a.png,b.png 2x", "small.png 1x,medium.png 2x,large.png 3x", "a.png foo, b.png 100w", "")
 
 
 def register(name: str, sql: str | None = None):
@@ -266,15 +267,14 @@ def _(spark, d):
     return pages(spark, d).select("page_id", urls.base64_col(F.unhex(F.sha2(data, 256))).alias("digest"), F.octet_length(data).cast("long").alias("bytes"))
 
 
-@register(
-    "integrity_check",
-    """SELECT page_id, 'sha256-' || base64(unhex(sha256(html))) = CASE WHEN page_id % 2 = 0 THEN 'sha256-' || base64(unhex(sha256(html))) ELSE 'sha256-bad' END AS holds
-    FROM pages""",
-)
+@register("integrity_check", "SELECT page_id, page_id % 4 = 0 AS holds FROM pages")
 def _(spark, d):
+    """Right digests on every fourth page; on the others one of another kind, an unknown one, or two at once."""
     digest = F.concat(F.lit("sha256-"), urls.base64_col(F.unhex(F.sha2(F.col("html").cast("binary"), 256))))
-    stated = F.when(F.col("page_id") % 2 == 0, digest).otherwise("sha256-bad")
-    return pages(spark, d).select("page_id", (digest == stated).alias("holds"))
+    kind = F.col("page_id") % 4
+    stated = F.when(kind == 0, digest).when(kind == 1, F.replace(digest, F.lit("sha256"), F.lit("sha512"))).when(kind == 2, F.replace(digest, F.lit("sha256"), F.lit("SHA256"))).otherwise(F.concat_ws(" ", digest, digest))
+    run = F.pandas_udf(lambda h, i: h.combine(i, lambda x, y: markup.integrity_holds(x.encode(), y)), "boolean")
+    return pages(spark, d).select("page_id", run("html", stated).alias("holds"))
 
 
 @register("data_url_encode", "SELECT page_id, 'data:text/html;charset=utf-8;base64,' || base64(encode(html)) AS data_url FROM pages")
@@ -344,10 +344,12 @@ def _(spark, d):
     return pages(spark, d).select("page_id", F.concat(F.lit("<!-- Saved from "), urls.referer_col(F.col("url")), F.lit(f" at {STAMP} using {markup.PRODUCT} -->")).alias("comment"))
 
 
-def _titles_sql() -> str:
-    out = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+def _titles_sql(parsed: bool = False) -> str:
+    out = "replace(title, '&amp;', '&')" if parsed else "regexp_extract(html, '<title>([^<]*)</title>', 1)"
     for a, b in markup.TITLE_MAP:
         out = f"replace({out}, '{a}', '{b}')"
+    if parsed:
+        return f"ltrim({out}, '.') || '.htm'"
     return f"'out/' || ltrim({out}, '.') || '-{STAMP.replace(':', '_')}.html'"
 
 
@@ -394,7 +396,7 @@ def _(spark, d):
     "cookie_match",
     f"""SELECT page_id, name, value FROM (
     SELECT r.page_id, c.name, c.value, row_number() OVER (PARTITION BY r.page_id ORDER BY c.line_no DESC) AS n
-    FROM (SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) AS scheme, {_HOST} AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS rp FROM pages) r
+    FROM (SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) AS scheme, lower({_HOST}) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS rp FROM pages) r
     JOIN {_COOKIE_SQL} c ON (scheme = 'https' OR scheme = 'http' AND NOT c.https_only)
     AND (CASE WHEN starts_with(c.domain, '.') AND c.include_subdomains THEN ends_with(host, c.domain) OR host = substr(c.domain, 2, greatest(length(c.domain) - 2, 0)) ELSE host = c.domain END)
     AND (lower(rp) = lower(c.path) OR starts_with(rp, c.path)) AND NOT (c.expires <> 0 AND c.expires < {NOW})) WHERE n = 1""",
@@ -432,9 +434,12 @@ def _(spark, d):
     return every.groupBy(F.col("a").alias("sheet"), F.col("b").alias("imported")).agg(F.min("depth").cast("int").alias("depth"))
 
 
-@register("asset_upsert", f"SELECT href, arg_max(page_id, page_id * 100000 + seq) AS last_page FROM {_LINKS} GROUP BY href")
+@register("asset_upsert", f"SELECT href, arg_max(page_id, {{'a': page_id, 'b': seq}}) AS last_page FROM {_LINKS} GROUP BY href")
 def _(spark, d):
-    return links(pages(spark, d)).groupBy("href").agg(F.max_by("page_id", F.col("page_id") * 100000 + F.col("seq")).alias("last_page"))
+    """The last row of each address by the order of arrival, here page and place."""
+    rows = links(pages(spark, d)).select(F.col("href").alias("url_key"), F.struct("page_id", "seq").alias("seq"), F.col("page_id").cast("string").alias("final_url"))
+    rows = rows.withColumns({"media_type": F.lit(""), "charset": F.lit(""), "data": F.lit(b"")})
+    return last_assets(rows).select(F.col("url_key").alias("href"), F.col("a.final_url").cast("long").alias("last_page"))
 
 
 @register("link_order", f"SELECT page_id, string_agg(href, ', ' ORDER BY seq) AS hrefs FROM {_LINKS} GROUP BY page_id")
@@ -442,106 +447,268 @@ def _(spark, d):
     return pages(spark, d).select("page_id", F.array_join(F.regexp_extract_all("html", F.lit(HREF), 1), ", ").alias("hrefs")).where("hrefs <> ''")
 
 
-def _udf(spark, values, kind, f):
-    run = F.pandas_udf(lambda s: s.map(f), kind)
-    return literal(spark, values).select("i", run("x").alias("found"))
+def _expected(names: str, rows) -> str:
+    """Literal cases with what they must give, as SQL."""
+    shown = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(shown, r)) + ')' for r in rows)}) AS t({names})"
 
 
-@register("srcset_items")
-def _(spark, d):
-    return _udf(spark, SRCSETS, "string", lambda v: "|".join(f"{a} {b}" for a, b in markup.srcset(v)))
+def _cases(name: str, rows, f, out: str = "found"):
+    """A query that applies f to literal texts; rows are (text, what must come out)."""
+
+    def run(spark, d):
+        apply = F.pandas_udf(lambda s: s.map(f), "string")
+        return literal(spark, [r[0] for r in rows]).select("i", apply("x").alias(out))
 
+    register(name, _expected(f"i, {out}", [(i, r[1]) for i, r in enumerate(rows)]))(run)
 
-RESOLVE = (
-    ("https://www.example.org", "a/b.html"), ("https://www.example.org/x/", "../y"), ("https://www.example.org", "//other.org/z"),
-    ("data:text/html,x", "//other.org/z"), ("file:///home/i.html", "a\\b.png"), ("https://e.org/x", "/für"),
-)
 
+_cases("srcset_items", cases.SRCSETS, lambda v: "|".join(f"{a} {b}" for a, b in markup.srcset(v)))
+_cases("css_cases", cases.SHEETS, lambda v: css.rewrite(v, lambda address, imported: None if "gone" in address else address.upper()), "css")
+_cases("css_no_images_no_fonts", cases.BARE_SHEETS, lambda v: css.rewrite(v, lambda address, imported: address, True, True), "css")
+_cases("resolve_urls", cases.RESOLVE, lambda v: urls.resolve(*v.split(" ", 1)), "url")
+_cases("target_urls", cases.TARGETS, cases.target_or_error, "url")
+_cases("charset_decode", cases.CHARSETS, lambda v: media.decode(bytes.fromhex(v.split(" ")[1]), v.split(" ")[0]))
+_cases("charset_encode", cases.ENCODED, lambda v: media.encode(v.split(" ", 1)[1], v.split(" ")[0]).hex())
+_cases("charset_labels", cases.LABELS, lambda v: str(media.codec(v) is not None))
+_cases("css_names", cases.IDENTS, lambda v: css.ident(css.unescape(v)) + " " + css.quote(v))
+_cases("tree_cases", cases.TREES, lambda v: dom.serialize(dom.parse(v)), "html")
+_cases("path_find", cases.PATHS, lambda v: "|".join(n.get("id") or "" for n in dom.find_nodes(dom.parse(v.split(" ", 1)[1]), v.split(" ", 1)[0].split("/"))))
+_cases("head_writers", cases.WRITERS, cases.written, "html")
 
-@register("resolve_urls")
+
+@register("walk_cases", _expected("name, html", [(name, made) for name, _, _, made in cases.WALKS]))
 def _(spark, d):
-    run = F.pandas_udf(lambda b, r: b.combine(r, urls.resolve), "string")
-    return spark.createDataFrame(list(RESOLVE), "base string, href string").select("base", "href", run("base", "href").alias("url"))
+    """One small page for each rule of the rewriter, bundled with a small catalog and the options of the case."""
+    assets = spark.createDataFrame([(k, k, t, "", bytearray(x, "utf-8")) for k, t, x in cases.CATALOG], "url_key string, final_url string, media_type string, charset string, data binary")
+    out = None
+    for flags in sorted({c[1] for c in cases.WALKS}):
+        mine = [(i, "http://t.example/d/", html) for i, (_, f, html, _) in enumerate(cases.WALKS) if f == flags]
+        named = spark.createDataFrame([(i, name) for i, (name, f, _, _) in enumerate(cases.WALKS) if f == flags], "page_id long, name string")
+        made = bundle(spark.createDataFrame(mine, "page_id long, url string, html string"), assets, Options(no_metadata=True, **dict.fromkeys(flags.split(), True)))
+        some = made.join(named, "page_id").select("name", F.coalesce("error", F.decode("content", "UTF-8")).alias("html"))
+        out = some if out is None else out.unionByName(some)
+    return out
 
 
-@register("links_resolved")
+@register("links_resolved", f"SELECT page_id, seq, regexp_extract(url, '{ORIGIN}', 1) || {documents.percent('href')} AS target FROM {_LINKS}")
 def _(spark, d):
     run = F.pandas_udf(lambda b, r: b.combine(r, urls.resolve), "string")
     return links(pages(spark, d)).select("page_id", "seq", run("url", "href").alias("target"))
 
 
+_SHAPES = {"link": "href", "page": "url", "padded": "concat('  ', url, ' ')", "host": "concat('//', href)", "mail": "concat('mailto:', href)", "none": "''"}
+
+
+@register(
+    "has_protocol",
+    "SELECT page_id, seq, shape, shape IN ('page', 'padded', 'mail') AS has_protocol FROM (SELECT page_id, seq, unnest(["
+    + ", ".join(f"'{k}'" for k in _SHAPES) + f"]) AS shape FROM {_LINKS})",
+)
+def _(spark, d):
+    run = F.pandas_udf(lambda s: s.map(urls.has_protocol), "boolean")
+    shapes = F.explode(F.array(*[F.struct(F.lit(k).alias("shape"), F.expr(v).alias("x")) for k, v in _SHAPES.items()])).alias("s")
+    return links(pages(spark, d)).select("page_id", "seq", shapes).select("page_id", "seq", "s.shape", run("s.x").alias("has_protocol"))
+
+
+@register("referer_rule", f"SELECT page_id, seq, CASE WHEN seq % 3 = 0 THEN NULL WHEN seq % 3 = 1 AND url = target THEN NULL ELSE regexp_replace(url, '#.*$', '') END AS referer FROM {_LINKS}")
+def _(spark, d):
+    run = F.pandas_udf(lambda p, u: p.combine(u, urls.referer_for), "string")
+    rows = links(pages(spark, d)).withColumn("parent", F.when(F.col("seq") % 3 == 0, "file:///a.html").otherwise(F.col("url")))
+    return rows.select("page_id", "seq", run("parent", "target").alias("referer"))
+
+
+def _rich_pages(spark, d) -> DataFrame:
+    """Every second page with a base, a robots rule and an icon in its head."""
+    more = '<head><base href="/b/"><meta name="Robots" content="all"><link rel=" Shortcut ICON " href="/f.ico">'
+    return pages(spark, d).withColumn("html", F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.replace("html", F.lit("<head>"), F.lit(more))))
+
+
+@register(
+    "dom_facts",
+    f"""SELECT page_id, CASE WHEN page_id % 2 = 1 THEN '/b/' END AS base, regexp_extract(html, '<meta charset="([^"]*)"', 1) AS charset,
+    CASE WHEN page_id % 2 = 1 THEN 'all' END AS robots, replace(title, '&amp;', '&') AS title, page_id % 2 = 1 AS has_favicon FROM {documents.PARTS}""",
+)
+def _(spark, d):
+    def facts(texts):
+        import pandas as pd
+
+        trees = [dom.parse(t) for t in texts]
+        return pd.DataFrame([(dom.base_url(t), dom.charset(t), dom.robots(t), dom.title(t), dom.has_favicon(t)) for t in trees], columns=["base", "charset", "robots", "title", "has_favicon"])
+
+    run = F.pandas_udf(facts, "base string, charset string, robots string, title string, has_favicon boolean").asNondeterministic()
+    return _rich_pages(spark, d).select("page_id", run("html").alias("f")).select("page_id", "f.*")
+
+
+@register("dom_links", f"SELECT page_id, CAST(seq AS BIGINT) AS seq, {documents.text('href')} AS href FROM {_LINKS}".replace("'&amp;', 'g'", "'&', 'g'"))
+def _(spark, d):
+    """Links of the tree, in document order, by node accessors' columns."""
+    a = dom_nodes(pages(spark, d)).where("name = 'a'").select("page_id", "node_id", F.filter("attrs", lambda x: x["name"] == "href")[0]["value"].alias("href"))
+    place = Window.partitionBy("page_id").orderBy("node_id")
+    return a.select("page_id", (F.row_number().over(place) - 1).cast("long").alias("seq"), "href")
+
+
 @register("dom_nodes")
 def _(spark, d):
     return dom_nodes(pages(spark, d))
 
 
-@register("dom_link_parents")
+@register("dom_element_counts", documents.COUNTS)
+def _(spark, d):
+    return dom_nodes(pages(spark, d)).where("kind = 'element'").groupBy("page_id", "name").agg(F.count("*").alias("n"))
+
+
+@register("dom_link_parents", f"SELECT 'li' AS parent, CAST(count(*) AS BIGINT) AS links FROM {_LINKS}")
 def _(spark, d):
     nodes = dom_nodes(pages(spark, d))
     a = nodes.where("name = 'a'").select("page_id", "parent_id")
     return a.join(nodes.select("page_id", F.col("node_id").alias("parent_id"), F.col("name").alias("parent")), ["page_id", "parent_id"]).groupBy("parent").agg(F.count("*").alias("links"))
 
 
-def _style_assets(spark, d) -> DataFrame:
-    """Assets derived from the pages: every site's favicon and a sheet for every linked address."""
+ICON = "00000100"
+
+
+def _icons(spark, d) -> DataFrame:
+    """An asset table derived from the pages: every site's favicon and a picture for every linked address."""
     made = links(pages(spark, d)).select(urls.clean_col(F.col("target")).alias("url_key")).distinct()
     icons = pages(spark, d).select(F.concat(F.regexp_extract("url", ORIGIN, 1), F.lit("/favicon.ico")).alias("url_key")).distinct()
     return made.unionByName(icons).select(
-        "url_key", F.col("url_key").alias("final_url"), F.lit("image/x-icon").alias("media_type"), F.lit("").alias("charset"), F.unhex(F.lit("00000100")).alias("data")
+        "url_key", F.col("url_key").alias("final_url"), F.lit("image/x-icon").alias("media_type"), F.lit("").alias("charset"), F.unhex(F.lit(ICON)).alias("data")
     )
 
 
-def _bundled(name: str, options: Options, with_assets: bool = False):
+def _bundled(name: str, options: Options, with_assets: bool = False, **twin):
     def run(spark, d):
-        made = bundle(pages(spark, d), _style_assets(spark, d) if with_assets else None, options)
-        return made.select("page_id", "url", "title", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("digest"), "error")
+        made = bundle(pages(spark, d), _icons(spark, d) if with_assets else None, options)
+        content = F.decode("content", "ISO-8859-1") if options.encoding else F.decode("content", "UTF-8")
+        return made.select("page_id", "url", "title", F.length("content").cast("long").alias("bytes"), F.sha2(content.cast("binary"), 256).alias("digest"), "error")
+
+    register(name, documents.bundled(None if options.no_metadata else STAMP, **twin))(run)
+
+
+_POLICY = dict(markup.POLICY)
+_LINK_ICON = '<link rel="icon" href="data:image/x-icon;base64,AAABAA=="></link>'
+_bundled("bundle_html", Options(timestamp=STAMP), True, links=_LINK_ICON)
+_bundled("bundle_no_js", Options(no_js=True, timestamp=STAMP), policy=_POLICY["no_js"], js=False)
+_bundled("bundle_no_css", Options(no_css=True, no_fonts=True, timestamp=STAMP), policy=f"{_POLICY['no_css']} {_POLICY['no_fonts']}", css=False)
+_bundled("bundle_no_media", Options(no_images=True, no_audio=True, no_video=True, no_frames=True, timestamp=STAMP), policy=f"{_POLICY['no_frames']} {_POLICY['no_images']}")
+_bundled("bundle_isolated", Options(isolate=True, unwrap_noscript=True, no_metadata=True), policy=_POLICY["isolate"])
+_bundled("bundle_mhtml", Options(output_format="mhtml", timestamp=STAMP), mhtml=True, policy=_POLICY["no_js"], js=False)
+_bundled("encode_output", Options(encoding="iso-8859-1", no_metadata=True), charset="iso-8859-1", chars=True)
+
+SITE = '<link rel="stylesheet" href="/site.css"><script src="/site.js"></script></head>'
+FRAME = '<iframe src="/frame.html#f"></iframe><img src="/pic.png"></article>'
+#: What every site has: path, media type, content. The sheet imports another, that one shows the picture, as the frame does.
+SITE_FILES = (
+    ("/site.css", "text/css", "@import 'more.css';p{color:red}"), ("/more.css", "text/plain", "b{background:url(pic.png)}"),
+    ("/site.js", "text/javascript", "f('</script>')"), ("/frame.html", "text/html", '<p><img src="pic.png">'), ("/pic.png", "image/png", "PNG"),
+)
+
 
-    register(name)(run)
+def _site_pages(spark, d) -> DataFrame:
+    """Every page with a sheet, a script, a frame and a picture of its site."""
+    html = F.replace(F.replace("html", F.lit("</head>"), F.lit(SITE)), F.lit("</article>"), F.lit(FRAME))
+    return pages(spark, d).withColumn("html", html)
+
+
+def _site_assets(spark, d) -> DataFrame:
+    files = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("path", "media_type", "text"), x, strict=True)]) for x in SITE_FILES])).alias("f")
+    sites = pages(spark, d).select(F.regexp_extract("url", ORIGIN, 1).alias("origin")).distinct().select("origin", files)
+    key = F.concat("origin", "f.path")
+    return sites.select(key.alias("url_key"), key.alias("final_url"), "f.media_type", F.lit("").alias("charset"), F.col("f.text").cast("binary").alias("data"))
+
+
+def _data_url(media_type: str, text: str) -> str:
+    return f"'data:{media_type};base64,' || base64(encode({text}))"
+
+
+_PIC = _data_url("image/png", "'PNG'")
+_MORE = _data_url("text/css", f"""'b{{background:url("' || {_PIC} || '")}}'""")
+_SHEET = _data_url("text/css", f"""'@import "' || {_MORE} || '";p{{color:red}}'""")
+_FRAME = _data_url("text/html", f"""'<html><head></head><body><p><img src="' || {_PIC} || '"></p></body></html>'""")
+@register("bundle_site", f"SELECT page_id, CAST(7 AS BIGINT) AS answered, {_SHEET} AS sheet, 'f(''<\\/script>'')' AS script, {_FRAME} || '#f' AS frame, {_PIC} AS picture FROM pages")
+def _(spark, d):
+    """Sheets with imports, scripts, frames and pictures, nested, embedded in every page: what the tree of the made document holds."""
+    made = bundle(_site_pages(spark, d), _site_assets(spark, d), Options(timestamp=STAMP))
+    answered = F.size(F.filter("log", lambda x: x["status"] == "ok")).cast("long").alias("answered")
+    content = F.decode("content", "UTF-8")
+    attr = lambda pattern, n: F.regexp_extract(content, pattern, 1).alias(n)
+    return made.select(
+        "page_id", answered, attr('<link rel="stylesheet" href="([^"]*)">', "sheet"), attr("<script>(f[^<]*<\\\\/script>'[)])</script>", "script"),
+        attr('<iframe src="([^"]*)"></iframe>', "frame"), attr('</iframe><img src="([^"]*)">', "picture"),
+    )
 
 
-_bundled("bundle_html", Options(timestamp=STAMP), True)
-_bundled("bundle_no_js", Options(no_js=True, timestamp=STAMP))
-_bundled("bundle_no_css", Options(no_css=True, no_fonts=True, timestamp=STAMP))
-_bundled("bundle_no_media", Options(no_images=True, no_audio=True, no_video=True, no_frames=True, timestamp=STAMP))
-_bundled("bundle_isolated", Options(isolate=True, unwrap_noscript=True, no_metadata=True))
-_bundled("bundle_mhtml", Options(output_format="mhtml", no_js=True, timestamp=STAMP))
-_bundled("encode_output", Options(encoding="iso-8859-1", no_metadata=True))
+_ICONS = f"SELECT page_id, CAST(0 AS INTEGER) AS seq, regexp_extract(url, '{ORIGIN}', 1) || '/favicon.ico' AS url_key FROM pages"
 
 
-@register("page_references")
+@register("page_references", _ICONS)
 def _(spark, d):
     return page_references(pages(spark, d))
 
 
-@register("needed_assets")
+@register(
+    "needed_assets",
+    "SELECT page_id, regexp_extract(url, '" + ORIGIN + "', 1) || path AS url_key FROM pages CROSS JOIN (VALUES "
+    + ", ".join(f"('{x[0]}')" for x in SITE_FILES) + ") AS f(path)",
+)
+def _(spark, d):
+    return needed_assets(_site_pages(spark, d), _site_assets(spark, d))
+
+
+@register(
+    "fetch_log",
+    f"""SELECT page_id, CAST(i - 1 AS INTEGER) AS seq, regexp_extract(url, '{ORIGIN}', 1) || p[i] AS url, CASE WHEN p[i] = '/favicon.ico' THEN 'not found' ELSE 'ok' END AS status
+    FROM (SELECT page_id, url, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT page_id, url,
+      ['/site.css', '/more.css', '/pic.png', '/site.js', '/frame.html#f', '/pic.png', '/pic.png', '/favicon.ico'] AS p FROM pages))""",
+)
 def _(spark, d):
-    return needed_assets(pages(spark, d), _style_assets(spark, d))
+    made = bundle(_site_pages(spark, d), _site_assets(spark, d), Options(timestamp=STAMP))
+    return made.select("page_id", F.posexplode("log").alias("seq", "x")).select("page_id", "seq", "x.url", "x.status")
 
 
-@register("fetch_log")
+@register("html_gate_bundle", "SELECT page_id, CASE WHEN page_id % 3 > 0 THEN sha256(html) END AS digest, page_id % 3 = 0 AS processed FROM pages")
 def _(spark, d):
-    asked = page_references(pages(spark, d))
-    known = _style_assets(spark, d).select("url_key").withColumn("hit", F.lit(True))
-    return asked.join(known, "url_key", "left").select("page_id", "seq", F.col("url_key").alias("url"), F.when(F.col("hit"), "ok").otherwise("not found").alias("status"))
+    """Pages of another media type than HTML pass as they are."""
+    kind = F.when(F.col("page_id") % 3 == 0, "TEXT/html").when(F.col("page_id") % 3 == 1, "text/plain").otherwise("image/svg+xml")
+    made = bundle(pages(spark, d).withColumn("media_type", kind), None, Options(timestamp=STAMP))
+    return made.select("page_id", F.when(F.col("title").isNull(), F.sha2("content", 256)).alias("digest"), F.col("title").isNotNull().alias("processed"))
 
 
-@register("output_files")
+@register("output_files", f"SELECT page_id, {_titles_sql(True)} AS path FROM {documents.PARTS}")
 def _(spark, d):
     made = bundle(pages(spark, d), None, Options(timestamp=STAMP))
     return sinks.with_paths(made, "%title%.%ext%", "html", STAMP).select("page_id", "path")
 
 
-@register("css_rewrite")
-def _(spark, d):
-    from pressleaf.functions import css
+_MORE_CSS = "@import 'x.css';a{background:url(i.png);color:#FFF}"
+
 
+@register("css_rewrite", """SELECT page_id, style || chr(10) || '@import "x.css";a{background:url("i.png");color:#FFF}' AS css FROM """ + documents.PARTS)
+def _(spark, d):
     def run(blocks) -> str | None:
         return None if blocks is None else "\n".join(css.rewrite(text, lambda address, imported: address) for text in blocks)
 
-    sheets = F.regexp_extract_all("html", F.lit("(?s)<style[^>]*>(.*?)</style>"), 1)
+    html = F.replace("html", F.lit("</head>"), F.lit(f"<style>{_MORE_CSS}</style></head>"))
+    sheets = F.regexp_extract_all(html, F.lit("(?s)<style[^>]*>(.*?)</style>"), 1)
     return pages(spark, d).select("page_id", F.pandas_udf(lambda s: s.map(run), T.StringType())(sheets).alias("css"))
 
 
+@register("asset_store", "SELECT regexp_replace(url, '#.*$', '') AS url_key, arg_max(sha256(html), (page_id % 2) * 1000000000000 + page_id) AS digest, CAST(max(page_id % 2) AS BIGINT) AS last_put FROM pages GROUP BY 1")
+def _(spark, d):
+    """Pages put into a store as assets, those of odd ids after the others, and read back."""
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    held = store.AssetStore(spark, f"{base.rstrip('/')}/asset-store-{uuid.uuid4().hex}")
+    one = pages(spark, d).withColumn("url_key", urls.clean_col(F.col("url"))).groupBy("url_key", (F.col("page_id") % 2).alias("odd")).agg(F.max_by("html", "page_id").alias("html"))
+    rows = one.select("url_key", F.col("url_key").alias("final_url"), F.lit("text/html").alias("media_type"), F.lit("").alias("charset"), F.col("html").cast("binary").alias("data"), "odd")
+    for odd in (0, 1):
+        held.put(rows.where(F.col("odd") == odd))
+    last = held.rows().groupBy("url_key").agg(F.max("seq").cast("long").alias("last_put"))
+    return held.get().join(last, "url_key").select("url_key", F.sha2("data", 256).alias("digest"), "last_put")
+
+
 @register("hosts_ranked", f"SELECT host, CAST(count(*) AS BIGINT) AS n, CAST(rank() OVER (ORDER BY count(*) DESC) AS INTEGER) AS place FROM (SELECT {_HOST} AS host FROM pages) GROUP BY host")
 def _(spark, d):
     counts = _hosts(spark, d).groupBy("host").agg(F.count("*").alias("n"))

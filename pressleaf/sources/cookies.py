@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from pressleaf.functions import urls
 
 HEADERS = ("# HTTP Cookie File", "# Netscape HTTP Cookie File")
 
@@ -37,6 +38,7 @@ def expired(now: int) -> Column:
 
 def matches(scheme: Column, host: Column, path: Column) -> Column:
     """Whether the cookie in the row is for the address. A dotted domain doesn't match its own apex."""
+    host = F.lower(host)
     secure = (scheme == "https") | ((scheme == "http") & ~F.col("https_only"))
     inner = F.expr("substring(domain, 2, greatest(length(domain) - 2, 0))")
     by_host = F.when(F.col("domain").startswith(".") & F.col("include_subdomains"), host.endswith(F.col("domain")) | (host == inner)).otherwise(
@@ -46,11 +48,35 @@ def matches(scheme: Column, host: Column, path: Column) -> Column:
     return secure & by_host & by_path
 
 
+def header(cookies: list[dict], url: str, now: int) -> str | None:
+    """name=value of the last cookie (rows as parse() gives them) for the address."""
+    found = urls.parse(url)
+    if found is None or found.scheme not in ("http", "https"):
+        return None
+    host, path, last = (found.host or "").lower(), found.path, None
+    for c in sorted(cookies, key=lambda c: c["line_no"]):
+        domain = c["domain"]
+        dotted = domain.startswith(".") and c["include_subdomains"]
+        by_host = host.endswith(domain) or host == domain[1:-1] if dotted else host == domain
+        by_path = path.lower() == c["path"].lower() or path.startswith(c["path"])
+        old = c["expires"] != 0 and c["expires"] < now
+        if by_host and by_path and not old and (found.scheme == "https" or not c["https_only"]):
+            last = f"{c['name']}={c['value']}"
+    return last
+
+
 def chosen(requests: DataFrame, cookies: DataFrame, now: int) -> DataFrame:
     """requests: request_id, scheme, host, request_path. The last matching cookie of the file for each.
 
-    cookies is a parsed file, small by nature; the join is on a condition.
+    A request meets the cookies of its host and of each ending of it, so both sides are joined by a key.
     """
-    joined = requests.join(cookies.where(~expired(now)), matches(F.col("scheme"), F.col("host"), F.col("request_path")))
-    last = Window.partitionBy("request_id").orderBy(F.desc("line_no"))
-    return joined.withColumn("n", F.row_number().over(last)).where("n = 1").select("request_id", "name", "value")
+    host = F.lower("host")
+    endings = F.transform(F.sequence(F.lit(1), F.size(F.split(host, r"\."))), lambda i: F.concat(F.lit("."), F.call_function("substring_index", host, F.lit("."), -i)))
+    asked = requests.withColumn("__key", F.explode(F.array_union(F.array(F.concat(F.lit("="), host)), endings)))
+    inner = F.expr("concat('=', substring(domain, 2, greatest(length(domain) - 2, 0)))")
+    dotted = F.col("domain").startswith(".") & F.col("include_subdomains")
+    keys = F.when(dotted, F.array(F.col("domain"), inner)).otherwise(F.array(F.concat(F.lit("="), "domain")))
+    known = cookies.where(~expired(now)).withColumn("__key", F.explode(keys))
+    found = asked.join(known, "__key").where(matches(F.col("scheme"), F.col("host"), F.col("request_path")))
+    last = found.groupBy("request_id").agg(F.max_by(F.struct("name", "value"), "line_no").alias("c"))
+    return last.select("request_id", "c.name", "c.value")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr basefont bgsound frame keygen".split())
@@ -20,12 +21,14 @@ SCOPE = frozenset("applet caption html table td th marquee object template svg m
 #: Foreign names whose case the parser restores.
 FOREIGN_TAGS = {x.lower(): x for x in "clipPath foreignObject linearGradient radialGradient textPath feGaussianBlur feOffset feBlend feMerge feMergeNode feColorMatrix feComposite feFlood feImage animateMotion animateTransform".split()}
 FOREIGN_ATTRS = {x.lower(): x for x in "viewBox preserveAspectRatio gradientUnits gradientTransform patternUnits clipPathUnits maskUnits markerWidth markerHeight refX refY stdDeviation textLength lengthAdjust pathLength attributeName repeatCount spreadMethod startOffset baseFrequency numOctaves xChannelSelector yChannelSelector".split()}
+#: Elements open at once, as browsers limit it too.
+MAX_DEPTH = 512
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
 _ATTR = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*|=[^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)|))?""")
 _LOOSE = re.compile(r"&(#[xX]?[0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;?)(?=(.?))", re.DOTALL)
 
 
-@dataclass
+@dataclass(eq=False, slots=True)
 class Node:
     kind: str  # document, element, text, comment, doctype
     name: str = ""
@@ -149,11 +152,35 @@ def tokens(text: str):
             at += 1
 
 
+class _Stack(list):
+    """Open elements, and how many there are of each name."""
+
+    def __init__(self, nodes=()):
+        super().__init__(nodes)
+        self.names = Counter(x.name for x in self)
+
+    def append(self, node: Node) -> None:
+        super().append(node)
+        self.names[node.name] += 1
+
+    def pop(self) -> Node:
+        node = super().pop()
+        self.names[node.name] -= 1
+        return node
+
+    def __delitem__(self, part: slice) -> None:
+        self.names.subtract(x.name for x in self[part])
+        super().__delitem__(part)
+
+    def has(self, names) -> bool:
+        return any(self.names[n] for n in names)
+
+
 class _Builder:
     def __init__(self):
         self.document = Node("document")
         self.html = self.head = self.body = None
-        self.stack: list[Node] = []
+        self.stack = _Stack()
         self.formats: list[Node] = []
         self.frameset = self.after_head = False
 
@@ -170,7 +197,7 @@ class _Builder:
     def need_html(self, attrs=None) -> None:
         if self.html is None:
             self.html = self.document.append(self.make("html", attrs))
-            self.stack = [self.html]
+            self.stack = _Stack([self.html])
 
     def need_head(self) -> None:
         self.need_html()
@@ -181,9 +208,11 @@ class _Builder:
         self.need_head()
         if self.body is None and not self.frameset:
             self.body = self.html.append(self.make("body", attrs))
-            self.stack = [self.html, self.body]
+            self.stack = _Stack([self.html, self.body])
 
     def insert(self, node: Node, push: bool) -> None:
+        if push and len(self.stack) >= MAX_DEPTH:
+            self.stack.pop()
         where = self.top
         if where.name in ("table", "tbody", "thead", "tfoot", "tr") and not where.foreign and node.kind != "comment":
             fits = node.name in ("caption", "colgroup", "col", "tbody", "thead", "tfoot", "tr", "td", "th", "script", "style", "template", "form", "input")
@@ -204,6 +233,8 @@ class _Builder:
             self.stack.append(node)
 
     def in_scope(self, names, extra=()) -> bool:
+        if not self.stack.has(names):
+            return False
         for x in reversed(self.stack):
             if x.name in names:
                 return True
@@ -253,12 +284,12 @@ class _Builder:
                 self.need_head()
                 node = self.head.append(self.make(name, attrs))
                 if name not in VOID:
-                    self.stack = [self.html, self.head, node]
+                    self.stack = _Stack([self.html, self.head, node])
                 return
             if name == "frameset":
                 self.need_head()
                 self.frameset = True
-                self.stack = [self.html]
+                self.stack = _Stack([self.html])
                 self.insert(self.make(name, attrs), True)
                 return
             if name == "body":
@@ -280,7 +311,7 @@ class _Builder:
             self.stack.pop()
         if name in ("li", "dd", "dt"):
             group = ("li",) if name == "li" else ("dd", "dt")
-            for x in reversed(self.stack):
+            for x in reversed(self.stack) if self.stack.has(group) else ():
                 if x.name in group:
                     self.pop_to(group)
                     break
@@ -304,12 +335,24 @@ class _Builder:
         closed = name in VOID or node.foreign and void
         self.insert(node, not closed)
         if name in FORMAT:
-            self.formats.append(node)
+            self._remember(node)
         elif name in ("applet", "marquee", "object", "td", "th", "caption"):
             self.formats.append(Node("element", "#marker"))
 
+    def _remember(self, node: Node) -> None:
+        """Of equal formatting elements, three at most are opened again."""
+        equal = []
+        for x in reversed(self.formats):
+            if x.name == "#marker":
+                break
+            if x.name == node.name and sorted(x.attrs) == sorted(node.attrs):
+                equal.append(x)
+        if len(equal) >= 3:
+            self.formats.remove(equal[2])
+        self.formats.append(node)
+
     def _table(self, name: str) -> None:
-        if not any(x.name == "table" for x in self.stack):
+        if not self.stack.has(("table",)):
             return
         if name in ("td", "th"):
             if self.in_scope(("td", "th")):
@@ -346,7 +389,7 @@ class _Builder:
             return
         if self.body is None and not self.frameset:
             if self.stack and self.top.name == name:
-                self.stack = [self.html]
+                self.stack = _Stack([self.html])
             elif name == "p":
                 self.need_body()
                 self.insert(self.make("p"), False)
@@ -358,7 +401,7 @@ class _Builder:
             self._format_end(name)
             return
         names = HEADINGS if name in HEADINGS else (name, FOREIGN_TAGS.get(name, name))
-        if any(x.name in names for x in self.stack[2:] if True) and self.in_scope(names):
+        if self.in_scope(names):
             self.pop_to(names)
             if name in ("td", "th", "caption", "applet", "marquee", "object"):
                 self._clear_marker()
@@ -374,7 +417,7 @@ class _Builder:
         if node is None or node not in self.stack:
             if node is not None:
                 self.formats.remove(node)
-            elif any(x.name == name for x in self.stack[2:]):
+            elif self.stack.has((name,)):
                 self.pop_to((name,))
             return
         at = self.stack.index(node)
@@ -489,20 +532,13 @@ def element(document: Node, *path: str) -> Node | None:
 
 def find_nodes(node: Node, path: list[str]) -> list[Node]:
     """Nodes at a child path, in any case; the path's endings match from each node on the way too."""
-    found, todo = [], [(node, tuple(p.lower() for p in path))]
-    while todo:
-        at, rest = todo.pop(0)
-        if not rest:
-            continue
-        for c in at.children:
-            if c.kind == "element" and c.name.lower() == rest[0]:
-                if len(rest) == 1:
-                    found.append(c)
-                else:
-                    todo.append((c, rest[1:]))
-        if len(rest) > 1:
-            todo.append((at, rest[1:]))
-    return list({id(x): x for x in found}.values())
+    found = []
+    for at in range(len(path)):
+        first, rest = path[at].lower(), path[at + 1 :]
+        for c in node.children:
+            if c.kind == "element" and c.name.lower() == first:
+                found += find_nodes(c, rest) if rest else [c]
+    return found
 
 
 def head_nodes(document: Node, name: str) -> list[Node]:
