@@ -7,7 +7,7 @@ the penalty of one more proportion.
 
 Defined results: null text or text without a letter gives `und`, score 0; ties go to the language that sorts
 first; repeated rows get equal answers; an empty table gives an empty result; without any learned language
-everything is `und`. Input columns named like a result column are replaced.
+everything is `und`. Very long texts are read whole. Input columns named like a result column are replaced.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ inequality on stored distances rules out pages and entries before their own dist
 
 Defined results: null vectors, vectors with null or non-finite components, and null ids take no part; shorter vectors
 count as padded with zeros; repeated rows of one id count once; ties go to the smaller id; with fewer than k candidates
-all are returned; an empty table gives an empty result.
+all are returned; vectors of any length are taken whole; other columns, whatever their names, are not read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

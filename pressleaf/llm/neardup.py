@@ -97,13 +97,11 @@ def shingles_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFra
     return cut(texts.mapInArrow(run, "node bigint, shingles binary"), "neardup-sets")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough.
 
     A task gets the set of v once and then those of its partners; a v with many of them is dealt to several tasks.
     """
-    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = shingles_of(wanted, nodes, docs)
     sized = pairs.join(nodes.select(F.col("node").alias("u"), "size"), "u")
     hubs = cut(sized.groupBy("v").agg(F.ceil(F.sum("size") / BESIDE).cast("int").alias("salts")), "neardup-hubs")
     centres = hubs.join(sets.withColumnRenamed("node", "v"), "v").select(
@@ -201,7 +199,8 @@ def _labelled(docs: DataFrame) -> DataFrame:
     buckets = cut(rows.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.count("*").alias("n")).where("centre <> last"), "neardup-buckets")
     members = cut(rows.join(buckets.hint("merge"), "key").select("key", "n", "node", "centre"), "neardup-members")
     pairs = cut(members.where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct(), "neardup-pairs")
-    links = cut(verified(pairs, nodes, docs), "neardup-links")
+    sets = shingles_of(members.select("node").distinct(), nodes, docs)
+    links = cut(verified(pairs, nodes, sets), "neardup-links")
     joined = cut(components(links), "neardup-components")
 
     # buckets of several groups; where there were two nodes only, their one pair is settled
@@ -215,13 +214,12 @@ def _labelled(docs: DataFrame) -> DataFrame:
     opened = cut(rows.join(several.hint("merge"), "key"), "neardup-open")
     discard(buckets, members, pairs)
     if opened.head(1):
-        sets = shingles_of(opened.select("node").distinct(), nodes, docs)
         more = cut(_cells(opened.join(sets, "node")), "neardup-crossing")
         # the groups so far are stars already, so few rounds are left
         stars = joined.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
         joined = cut(components(stars.unionByName(more)), "neardup-components")
-        discard(sets, more)
-    discard(opened)
+        discard(more)
+    discard(opened, sets)
 
     named = nodes.join(joined, "node", "left").select("h1", "h2", "rep", F.coalesce("component", "node").alias("component"))
     least = cut(named.groupBy("component").agg(F.min("rep").alias("component_id")), "neardup-least")

@@ -8,8 +8,8 @@ pieces back by best fit, largest first. Between epochs every island gets the eli
 of a block wins. Bins that stay badly filled are pooled across blocks and packed once more.
 
 Defined results: null text is empty, and an empty text is one piece that holds the end id alone; repeated rows are
-packed each by itself; equal lengths are interchangeable, so ties are settled by the row's number; an empty table gives
-an empty result.
+packed each by itself; equal lengths are interchangeable, so ties are settled by the row's number; other columns, whatever
+their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pressleaf.llm.common import cut, release, slices, table
 from pressleaf.llm.tokens import encoder
 
 CAPACITY = 1024
+#: Children of an island in each epoch.
+ROUNDS = 20
 #: Bytes of text tokenised at once in a task.
 CHUNK = 1 << 20
 
@@ -121,7 +123,7 @@ def crossover(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int,
     return child
 
 
-def evolve(lengths: np.ndarray, seed: int, capacity: int = CAPACITY, elite: np.ndarray | None = None, size: int = 4, rounds: int = 6) -> np.ndarray:
+def evolve(lengths: np.ndarray, seed: int, capacity: int = CAPACITY, elite: np.ndarray | None = None, size: int = 4, rounds: int = ROUNDS) -> np.ndarray:
     """Bin of each piece after some generations on one island; lengths must be in 1..capacity."""
     rng = np.random.default_rng(seed)
     population = []
@@ -186,7 +188,7 @@ def _pack_blocks(items: DataFrame, capacity: int, block: int, islands: int, roun
     return first.join(best, ["block", "island"]).select("uid", "length", "block", "bin")
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, block: int = 4096, islands: int = 2, rounds: int = 6) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, block: int = 4096, islands: int = 3, rounds: int = ROUNDS) -> DataFrame:
     """uid, length of pieces (1..capacity) -> uid, sequence_id, offset. sequence_id is the smallest uid in the sequence."""
     short = items.where(F.col("length") < capacity).select("uid", "length")
     full = items.where(F.col("length") == capacity).select("uid", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

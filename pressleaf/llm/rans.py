@@ -5,13 +5,14 @@ index of documents, and independent blocks. A block's ids are dealt to LANES int
 moves 32-bit words. The block directory holds checkpoints (place, ids, words and final states) and a checksum for each
 block, so that any block can be decoded by itself, in parallel with the others.
 
-Segment layout (little-endian): magic `RANS1\\0`, u32 documents, u32 symbols, u32 blocks, u64 ids; documents' ids (i64)
-and lengths (u32); symbols (u32) and their frequencies (u32, adding up to 2**SCALE); for each block u32 ids, u32 words,
+Segment layout (little-endian): magic `RANS2\\0`, u32 documents, u32 symbols, u32 blocks, u64 ids; documents' ids (i64),
+whether they are null (u8) and lengths (u32); symbols (u32) and their frequencies (u32, adding up to 2**SCALE); for each block u32 ids, u32 words,
 u32 crc32 of its ids; then each block's LANES states (u64) and words (u32). A u64 length stands before each segment and
 a u32 crc32 of the segment behind it.
 
 Defined results: null text is empty; an empty text holds the end id alone; a null id is kept as null; repeated rows and
-equal ids are kept in order of their text's digest; an empty table gives no file and an empty result.
+equal ids are kept in order of their text's digest; other columns, whatever their names, are not read; an empty table gives no
+file and an empty result.
 """
 
 from __future__ import annotations
@@ -24,16 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressleaf.llm.common import chunks, cut, scratch, slices, table
+from pressleaf.llm.common import chunks, cut, release, scratch, slices, table
 from pressleaf.llm.tokens import encoder
 
-MAGIC = b"RANS1\0"
+MAGIC = b"RANS2\0"
 SCALE = 20
 LANES = 1024
 #: Ids in a block and in a segment, at most (a document of more ids is a segment of its own).
 BLOCK, SEGMENT = 1 << 18, 1 << 21
+#: Ids after which a file is ended.
+FILE = 1 << 24
 LOW = 1 << 31
-_NULL = -(1 << 63)
 
 
 def frequencies(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
@@ -123,7 +125,8 @@ def encode_segment(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
         [
             MAGIC,
             struct.pack("<IIIQ", len(doc_ids), len(symbols), len(bodies), len(every)),
-            np.array([_NULL if d is None else d for d in doc_ids], "<i8").tobytes(),
+            np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
+            bytes(d is None for d in doc_ids),
             np.array([len(x) // 4 for x in ids], "<u4").tobytes(),
             symbols.astype("<u4").tobytes(),
             table.astype("<u4").tobytes(),
@@ -133,36 +136,51 @@ def encode_segment(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
     )
 
 
-def decode_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """Document ids, their lengths, and all ids one after another."""
-    if data[: len(MAGIC)] != MAGIC:
-        raise ValueError("not a segment")
-    at = len(MAGIC)
-    docs, count, blocks, total = struct.unpack_from("<IIIQ", data, at)
-    at += 20
-
-    def take(kind: str, n: int) -> np.ndarray:
-        nonlocal at
-        got = np.frombuffer(data, kind, n, at)
-        at += got.nbytes
-        return got
-
-    names, sizes, symbols = take("<i8", docs), take("<u4", docs), take("<u4", count)
-    table = take("<u4", count).astype(np.int64)
-    freq, start = _tables(table)
-    slots = np.repeat(np.arange(count), table)
-    directory = take("<u4", 3 * blocks).reshape(-1, 3)
-    parts = []
-    for n, words, crc in directory.tolist():
-        state = take("<u8", LANES).astype(np.uint64)
-        got = symbols[decode_block(n, state, take("<u4", words).astype(np.uint64), freq, start, slots)]
+class Segment:
+    """A segment's tables and directory; block(i) decodes one block by itself."""
+
+    def __init__(self, data: bytes):
+        if data[: len(MAGIC)] != MAGIC:
+            raise ValueError("not a segment")
+        self.data, at = data, len(MAGIC)
+        docs, count, blocks, self.total = struct.unpack_from("<IIIQ", data, at)
+        at += 20
+
+        def take(kind: str, n: int) -> np.ndarray:
+            nonlocal at
+            got = np.frombuffer(data, kind, n, at)
+            at += got.nbytes
+            return got
+
+        names, missing = take("<i8", docs).tolist(), take("u1", docs).tolist()
+        self.doc_ids = [None if none else d for d, none in zip(names, missing, strict=True)]
+        self.sizes, self.symbols = take("<u4", docs).astype(np.int64), take("<u4", count)
+        table = take("<u4", count).astype(np.int64)
+        self.freq, self.start = _tables(table)
+        self.slots = np.repeat(np.arange(count), table)
+        self.directory = take("<u4", 3 * blocks).reshape(-1, 3).astype(np.int64)
+        lengths = 8 * LANES + 4 * self.directory[:, 1]
+        self.places = at + np.cumsum(lengths) - lengths
+
+    def block(self, i: int) -> np.ndarray:
+        n, words, crc = self.directory[i].tolist()
+        at = int(self.places[i])
+        state = np.frombuffer(self.data, "<u8", LANES, at).astype(np.uint64)
+        body = np.frombuffer(self.data, "<u4", words, at + 8 * LANES).astype(np.uint64)
+        got = self.symbols[decode_block(n, state, body, self.freq, self.start, self.slots)]
         if zlib.crc32(got.tobytes()) != crc:
             raise ValueError("a block's checksum differs")
-        parts.append(got)
+        return got
+
+
+def decode_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """Document ids, their lengths, and all ids one after another."""
+    found = Segment(data)
+    parts = [found.block(i) for i in range(len(found.directory))]
     every = np.concatenate(parts) if parts else np.zeros(0, "<u4")
-    if len(every) != total:
+    if len(every) != found.total:
         raise ValueError("ids are missing")
-    return [None if d == _NULL else d for d in names.tolist()], sizes.astype(np.int64), every
+    return found.doc_ids, found.sizes, every
 
 
 def segments(data: bytes):
@@ -178,9 +196,9 @@ def segments(data: bytes):
 
 
 def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
-    """Writes one file for each range of ids, in ascending order of id and name; returns (file, docs, ids).
+    """Writes the files of each range of ids, in ascending order of id and name; returns (file, docs, ids).
 
-    A file is written under a name of its own by each attempt and then renamed, so a lost executor leaves no half file.
+    A file ends with the segment that brings it to FILE ids or more, so that one fits a task's memory. A file is written under a name of its own by each attempt and then renamed, so a lost executor leaves no half file.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("digest", F.xxhash64("text"))
@@ -193,36 +211,40 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json") ->
         from pyspark import TaskContext
 
         place, folder = fs.FileSystem.from_uri(path)
-        name = f"{folder}/ids-{TaskContext.get().partitionId():06d}.rans"
-        own = f"{folder}/.{uuid.uuid4().hex}"
         held: list[tuple[int | None, bytes]] = []
-        out, n_docs, n_ids = None, 0, 0
+        out, own, number, size, n_docs, n_ids = None, "", 0, 0, 0, 0
 
         def flush():
             data = encode_segment([d for d, _ in held], [x for _, x in held])
             out.write(struct.pack("<Q", len(data)) + data + struct.pack("<I", zlib.crc32(data)))
             held.clear()
 
-        size = 0
+        def end():
+            name = f"ids-{TaskContext.get().partitionId():06d}-{number:06d}.rans"
+            out.close()
+            place.move(own, f"{folder}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], names=["file", "docs", "ids"])
+
         for batch in (part for whole in batches for part in slices(whole, 1 << 20)):
-            if out is None:
-                place.create_dir(folder, recursive=True)
-                out = place.open_output_stream(own)
             for d, x in zip(batch.column(0).to_pylist(), encoder(vocabulary).batch(batch.column(1).to_pylist()), strict=True):
                 if held and size + len(x) // 4 > SEGMENT:
                     flush()
                     size = 0
+                    if n_ids >= FILE:
+                        yield end()
+                        out, number, n_docs, n_ids = None, number + 1, 0, 0
+                if out is None:
+                    place.create_dir(folder, recursive=True)
+                    own = f"{folder}/.{uuid.uuid4().hex}"
+                    out = place.open_output_stream(own)
                 held.append((d, x))
                 size += len(x) // 4
                 n_docs, n_ids = n_docs + 1, n_ids + len(x) // 4
         if out is not None:
             if held:
                 flush()
-            out.close()
-            place.move(own, name)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name.rpartition("/")[2]]), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], names=["file", "docs", "ids"]
-            )
+            yield end()
+        release()
 
     return cut(ordered.mapInArrow(run, "file string, docs bigint, ids bigint"), "rans-files")
 

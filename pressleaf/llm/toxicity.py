@@ -8,7 +8,9 @@ fit on the same bounded sample of labelled rows.
 
 Defined results: null or empty texts have no passage and get the probability of zero evidence; repeated rows
 get equal answers; with one class only, or no labels, the score is the smoothed rate of the labels seen;
-contradicting labels of a document count as toxic; input columns named like a result column are replaced.
+contradicting labels of a document count as toxic; input columns named like a result column are replaced; very long texts
+are scored whole; tokens of equal significance are taken in the order of their text (max_tokens of them at most, a parameter);
+an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ Random numbers are a hash of the seed, the row's key, the sample and the place,
 
 Defined results: null text counts as empty; an empty text has the empty segmentation alone, at log probability 0; texts
 with fewer than k segmentations give all of them, inclusion 1; a null key counts as 0; rows with equal key and text get
-equal samples; `▁` in a text decodes as a space; an empty table gives an empty result.
+equal samples; `▁` in a text decodes as a space; very long texts are sampled whole; other columns, whatever their names, are
+not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -332,6 +333,11 @@ class _Text:
             heapq.heappush(self.queue, (-value, self.count, path, place, (int(edges[place]),)))
 
 
+#: Share of a node's mass from which the subtrees beside a path are queued in any case. Fainter ones are queued where fewer
+#: than MOST others are: else they would have to beat MOST subtrees that are likelier by orders of magnitude.
+CLEAR = 1e-12
+
+
 def _beside(trees: list[tuple[_Text, int]], lat: Lattices, sample: int) -> None:
     """Queues the subtrees beside each text's newest path from its place on, their values truncated at the path's."""
     lps = [lat.logp[t.paths[-1][1]] for t, _ in trees]
@@ -339,9 +345,22 @@ def _beside(trees: list[tuple[_Text, int]], lat: Lattices, sample: int) -> None:
     lp = np.concatenate(lps)
     before = np.concatenate([np.cumsum(x) for x in lps]) - lp
     place = np.concatenate([np.arange(n) for n in sizes])
-    other = 1.0 - np.exp(lp)
+    other = -np.expm1(lp)
     who = np.repeat(np.arange(len(trees)), sizes)
-    kept = np.flatnonzero((other > 1e-12) & (place >= np.repeat([begin for _, begin in trees], sizes)))
+    within = place >= np.repeat([begin for _, begin in trees], sizes)
+    clear = within & (other > CLEAR)
+    # texts with few clear places get the faint ones too, with their edges' own sums: no segmentation is lost
+    few = np.bincount(who[clear], minlength=len(trees)) < MOST
+    faint = np.flatnonzero(within & ~clear & few[who])
+    if len(faint):
+        edges = np.concatenate([t.paths[-1][1] for t, _ in trees])[faint]
+        node = _node_of(lat, edges)
+        begin, lens = lat.first[node], lat.first[node + 1] - lat.first[node]
+        starts = np.cumsum(lens) - lens
+        options = np.repeat(begin - starts, lens) + np.arange(lens.sum())
+        other[faint] = np.add.reduceat(np.where(options == np.repeat(edges, lens), 0.0, np.exp(lat.logp[options])), starts)
+        clear[faint] = other[faint] > 0
+    kept = np.flatnonzero(clear)
     who, place = who[kept], place[kept]
     keys = np.array([_times(t.key, sample, _GOLD) for t, _ in trees], np.uint64)
     bounds = np.array([t.paths[-1][3] for t, _ in trees])
@@ -393,8 +412,8 @@ def sample_texts(lat: Lattices, texts: list[str | None], keys: list[int], k: int
                 p = np.exp(lat.logp[options])
                 u = _uniform(_times(t.key, sample, _GOLD), np.array([place + (1 << 40), place + (2 << 40)], np.uint64))
                 e = int(options[min(np.searchsorted(np.cumsum(p), u[0] * p.sum(), side="right"), len(options) - 1)])
-                left = float(p.sum() - math.exp(lat.logp[e]))
-                if len(options) > 1 and left > 1e-12:
+                left = float(p[options != e].sum())
+                if left > 0:
                     location = float(lat.logp[edges[:place]].sum()) + math.log(left)
                     t.count += 1
                     heapq.heappush(t.queue, (-float(_truncated(location, value, u[1])), t.count, path, place, (*taken, e)))

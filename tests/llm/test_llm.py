@@ -8,6 +8,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -284,6 +285,31 @@ def test_salvage(spark):
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_cut_anywhere(spark):
+    """An archive that ends anywhere gives the records before its end, and a gap for the rest."""
+    df = spark.createDataFrame([(i, "u", "x" * i) for i in range(3)], "page_id long, url string, html string")
+    records = [(r["record"] + warc.SEPARATOR).encode() for r in warc.records(df).orderBy("page_id").collect()]
+    whole, packed = b"".join(records), b"".join(map(gzip.compress, records))
+    for data, parts in ((whole, records), (packed, list(map(gzip.compress, records)))):
+        ends = np.cumsum([len(x) for x in parts])
+        for stop in range(len(data) + 1):
+            found = list(warc.salvage(data[:stop]))
+            complete = int((ends <= stop).sum())
+            assert sum(x[0] == "record" for x in found) >= complete and [x[0] for x in found[:complete]] == ["record"] * complete
+            assert not stop or (found[-1][0] == "gap") == (stop not in ends)
+
+
+def test_salvage_is_linear():
+    part = gzip.compress(b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")
+    took = []
+    for n in (3000, 24000):
+        data = part * n
+        began = time.perf_counter()
+        assert sum(x[0] == "record" for x in warc.salvage(data)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 20 * took[0]
+
+
 def test_salvage_inside_members(spark):
     """A damaged gzip member of many records gives all that are whole, each once."""
     df = spark.createDataFrame([(i, "u", " ".join(f"{zlib.crc32(bytes([i, j % 251, j // 251]))}" for j in range(900))) for i in range(5)], "page_id long, url string, html string")
@@ -335,6 +361,19 @@ def test_evolution_keeps_pieces_and_improves():
     assert len(set(best.tolist())) <= first.max() + 1
 
 
+def test_evolution_beats_best_fit():
+    """Where pieces of a third to two thirds of a sequence have to be matched, the search saves sequences."""
+    saved = 0
+    for seed in range(3):  # the least sums of lengths would allow 27 to 32 sequences fewer; three or four are found
+        lengths = np.random.default_rng(seed).integers(200, 700, 4096)
+        plain = packing.evolve(lengths, 1, rounds=0, size=1)
+        best = packing.evolve(lengths, 1)
+        assert np.bincount(best, weights=lengths).max() <= 1024
+        saved += len(set(plain.tolist())) - len(set(best.tolist()))
+        assert len(set(best.tolist())) < len(set(plain.tolist()))
+    assert saved >= 6
+
+
 def test_media(docs, empty):
     back = media.read_back(media.store(docs.select("doc_id", "text", "score"))).collect()
     for r in back:
@@ -369,6 +408,20 @@ def test_token_files(spark, docs, empty, tmp_path):
     assert rans.write(empty, f"{path}2").count() == 0
 
 
+def test_token_query(spark, docs, tmp_path, monkeypatch):
+    """Starts, counts and checksums of the query against whole-text encoding, over files that end early."""
+    monkeypatch.setattr(rans, "FILE", 300)
+    monkeypatch.setattr(rans, "SEGMENT", 200)
+    source = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    source.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    before, want = 0, set()
+    for r in source.orderBy("doc_id").collect():
+        ids = ids_of(r["text"])
+        want.add((r["doc_id"], before, len(ids), zlib.crc32(ids.tobytes())))
+        before += len(ids)
+    assert {tuple(r) for r in rans.query(spark, f"file://{tmp_path}").collect()} == want
+
+
 def test_rans_blocks():
     rng = np.random.default_rng(5)
     ids = (rng.zipf(1.3, 300_000) % 50257).astype("<u4")
@@ -377,6 +430,10 @@ def test_rans_blocks():
     names, sizes, every = rans.decode_segment(data)
     assert names == [1, None, 3] and sizes.tolist() == [5, 0, 299_995] and (every == ids).all()
     assert len(data) < ids.nbytes / 2
+    one = rans.Segment(data)
+    assert len(one.directory) == 2 and (one.block(1) == ids[rans.BLOCK :]).all()
+    low = rans.decode_segment(rans.encode_segment([-(1 << 63), None, 0], [ids[:2].tobytes()] * 3))
+    assert low[0] == [-(1 << 63), None, 0]
     bad = bytearray(data)
     bad[-1000] ^= 4
     with pytest.raises(ValueError):
@@ -414,6 +471,30 @@ def test_sampling_is_without_replacement():
     assert abs(np.mean([sum(math.exp(s[1]) / s[3] for s in g) for g in got]) - 1) < 0.01
 
 
+def test_sampling_loses_no_segmentation():
+    """All segmentations of short texts come out, however unlikely, with the probabilities of full enumeration."""
+    lat = unigram.Lattices(unigram.Vocabulary())
+    v = lat.v
+    for text in ("York", "the", "ab c", "Zürich"):
+        shown = "▁" + text.replace(" ", "▁")
+
+        def every(at, shown=shown):
+            if at == len(shown):
+                return [()]
+            ends = [e for e in range(at + 1, len(shown) + 1) if shown[at:e] in v.weight and (e == len(shown) or True)]
+            return [(shown[at:e], *rest) for e in ends for rest in every(e)]
+
+        got = unigram.sample_texts(lat, [text], [5], 16)[0]
+        assert len({tuple(s[0].tolist()) for s in got}) == len(got)
+        again = unigram.sample_texts(lat, [text], [6], 16)[0]
+        if len(got) < 16:  # all of them
+            assert {tuple(s[0].tolist()) for s in got} == {tuple(s[0].tolist()) for s in again}
+            assert sum(math.exp(s[1]) for s in got) == pytest.approx(1) and all(s[3] == 1 for s in got)
+            plain = {p for p in every(0) if not any("▁" in x[1:] and x.strip("▁") for x in p)}
+            assert len(got) >= min(7, len(plain)) or len(plain) <= len(got)
+    assert len(unigram.sample_texts(lat, ["York"], [1], 8)[0]) == 7
+
+
 def test_units_without_pieces():
     """Short units of characters without a piece weigh the same whichever way they are added."""
     v = unigram.Vocabulary()
