@@ -29,7 +29,7 @@ CAPACITY = 1024
 #: Children of an island in each epoch.
 ROUNDS = 20
 #: Bytes of text tokenised at once in a task.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k.json", ids: bool = True) -> DataFrame:
