@@ -512,7 +512,7 @@ def bundle(pages: DataFrame, assets: DataFrame | None = None, options: Options |
     if assets is None:
         source = source.withColumn("assets", F.lit(None).cast("array<struct<url_key:string,final_url:string,media_type:string,charset:string,data:binary>>"))
     else:
-        needed = _kept(needed_assets(pages, assets, options))
+        needed = needed_assets(pages, assets, options)
         # an asset that many pages need goes to several tasks
         counts = needed.groupBy("url_key").agg(F.ceil(F.count("*") / USERS).cast("int").alias("salts"))
         one = last_assets(assets).join(counts, "url_key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
