@@ -56,24 +56,26 @@ class Encoder:
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, the end id included; null counts as empty."""
+        known = self.known
         split = [self.pieces(t) if t else [] for t in texts]
-        new: set[str] = set()
-        for pieces in split:
-            new.update(pieces)
-        new.difference_update(self.known)
-        once: dict[str, bytes] = {}
-        fresh = list(new)
-        for piece, ids in zip(fresh, self._ids(fresh), strict=True):
-            if len(self.known) < REMEMBERED and len(piece) <= LONGEST:
-                self.known[piece] = ids
-            else:
-                once[piece] = ids
+        # each piece is looked up once; only the gaps are filled afterwards
+        found = [list(map(known.get, pieces)) for pieces in split]
+        gaps = [[i for i, ids in enumerate(row) if ids is None] if None in row else () for row in found]
+        fresh = list({pieces[i] for pieces, at in zip(split, gaps, strict=True) for i in at})
+        new = dict(zip(fresh, self._ids(fresh), strict=True))
+        for piece, ids in new.items():
+            if len(known) >= REMEMBERED:
+                break
+            if len(piece) <= LONGEST:
+                known[piece] = ids
         end = END.to_bytes(4, "little")
-        if once:
-            known = self.known
-            return [b"".join([known[p] if p in known else once[p] for p in pieces]) + end for pieces in split]
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) + end for pieces in split]
+        made = []
+        for pieces, row, at in zip(split, found, gaps, strict=True):
+            for i in at:
+                row[i] = new[pieces[i]]
+            row.append(end)
+            made.append(b"".join(row))
+        return made
 
 
 _encoders: dict[str, Encoder] = {}
