@@ -225,7 +225,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json") ->
             place.move(own, f"{folder}/{name}")
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], names=["file", "docs", "ids"])
 
-        for batch in (part for whole in batches for part in slices(whole, 4 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, 2 << 20)):
             for d, x in zip(batch.column(0).to_pylist(), encoder(vocabulary).batch(batch.column(1).to_pylist()), strict=True):
                 if held and size + len(x) // 4 > SEGMENT:
                     flush()

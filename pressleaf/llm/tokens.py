@@ -7,13 +7,14 @@ and its ids are remembered in the task, so frequent words cost a lookup (no merg
 
 from __future__ import annotations
 
-import array
 import re
-import sys
+import struct
 
 END = 2
 #: Pieces whose ids a worker remembers, and the longest piece that is remembered.
-REMEMBERED, LONGEST = 700_000, 64
+REMEMBERED, LONGEST = 400_000, 64
+#: Marks for pieces met once; pieces of one mark are taken for each other, which only costs memory.
+SEEN = 1 << 23
 #: The library's pattern for texts of Latin letters without digits outside ASCII; other texts take its own pattern.
 _LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]+| ?[0-9]+| ?[^\sA-Za-z0-9\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]+|\s+(?!\S)|\s+").findall
 _OTHER = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]").search
@@ -25,15 +26,22 @@ class Encoder:
     def __init__(self, vocabulary: str):
         import public_tokenizers
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        if self.tokenizer.normalizer is not None:
+            raise ValueError("unsupported: a vocabulary with a normalizer")
+        #: The same model for text that is already one piece.
+        self.whole = Tokenizer(self.tokenizer.model)
+        self.whole.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.pattern = regex.compile(public_tokenizers.PATTERN).findall
         self.known: dict[str, bytes] = {}
         for i, token in self.tokenizer.get_added_tokens_decoder().items():
             if token.lstrip or token.rstrip or token.single_word or token.normalized:
                 raise ValueError(f"unsupported added token {token.content!r}")
             self.known[token.content] = i.to_bytes(4, "little")
+        #: Marks pieces met before: most rare words never come again.
+        self.seen = bytearray(SEEN)
         self.added = tuple(self.known)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
 
@@ -46,13 +54,8 @@ class Encoder:
         return self._split(text)
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        made = []
-        for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
-            ids = array.array("I", e.ids)
-            if sys.byteorder == "big":
-                ids.byteswap()
-            made.append(ids.tobytes())
-        return made
+        found = self.whole.encode_batch_fast(pieces, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, the end id included; null counts as empty."""
@@ -63,11 +66,12 @@ class Encoder:
         gaps = [[i for i, ids in enumerate(row) if ids is None] if None in row else () for row in found]
         fresh = list({pieces[i] for pieces, at in zip(split, gaps, strict=True) for i in at})
         new = dict(zip(fresh, self._ids(fresh), strict=True))
-        for piece, ids in new.items():
-            if len(known) >= REMEMBERED:
-                break
-            if len(piece) <= LONGEST:
-                known[piece] = ids
+        if len(known) < REMEMBERED:
+            for piece, ids in new.items():
+                at = hash(piece) % SEEN
+                if self.seen[at] and len(piece) <= LONGEST:
+                    known[piece] = ids
+                self.seen[at] = 1
         end = END.to_bytes(4, "little")
         made = []
         for pieces, row, at in zip(split, found, gaps, strict=True):
