@@ -12,14 +12,25 @@ import struct
 
 END = 2
 #: Pieces whose ids a worker remembers, and the longest piece that is remembered.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 550_000, 64
+#: So many pieces are remembered when first met, the others when met again.
+FIRST = 350_000
 #: Marks for pieces met once; pieces of one mark are taken for each other, which only costs memory.
 SEEN = 1 << 23
 #: The library's pattern for texts of Latin letters without digits outside ASCII; other texts take its own pattern.
-_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]+| ?[0-9]+| ?[^\sA-Za-z0-9\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]+|\s+(?!\S)|\s+").findall
+_LATIN = re.compile(r" ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\sA-Za-z0-9\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]+|\s+(?!\S)|\s+").findall
 _OTHER = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]").search
 
 
+def _latin(text: str) -> bool:
+    """True if _OTHER finds nothing; a few plain searches tell that sooner where a byte holds each character."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _OTHER(text)
+    return not any(c in text for c in ("\x1c\x1d\x1e\x1f" if text.isascii() else "\x1c\x1d\x1e\x1f\xb2\xb3\xb9\xbc\xbd\xbe"))
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
@@ -46,7 +57,7 @@ class Encoder:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
 
     def _split(self, text: str) -> list[str]:
-        return (self.pattern if _OTHER(text) else _LATIN)(text)
+        return (_LATIN if _latin(text) else self.pattern)(text)
 
     def pieces(self, text: str) -> list[str]:
         if any(a in text for a in self.added):
@@ -69,7 +80,7 @@ class Encoder:
         if len(known) < REMEMBERED:
             for piece, ids in new.items():
                 at = hash(piece) % SEEN
-                if self.seen[at] and len(piece) <= LONGEST:
+                if (self.seen[at] or len(known) < FIRST) and len(piece) <= LONGEST:
                     known[piece] = ids
                 self.seen[at] = 1
         end = END.to_bytes(4, "little")

@@ -592,3 +592,14 @@ def test_pipeline_runs_on_few_rows(spark, docs, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "toxicity", "near_duplicates", "packing"]
     made = corpus_pipeline.run(spark, f"file://{tmp_path}")
     assert made.count() > 0 and "sequence_id" in made.columns
+
+
+def test_ids_of_odd_texts_equal_the_library():
+    from pressleaf.llm import tokens
+
+    made = tokens.encoder()
+    odd = ["x²y ¼ a\x1cb", "naïve café's 12ab 3٣", "", "  \n\n x  y ", "ɏɐ ʒ 漢字", "it's 'sab ''t 't's", "a b　c \x85 d", "1²2", "ǅ ß ÿ'll", "w" * 300, "<|endoftext|>a<|endoftext|>"]
+    for _ in range(3):  # met first, met again, remembered
+        for text, got in zip(odd, made.batch(odd), strict=True):
+            ids = made.tokenizer.encode(text, add_special_tokens=False).ids + [tokens.END]
+            assert np.frombuffer(got, "<u4").tolist() == ids
