@@ -8,8 +8,9 @@ each page then is rewritten once with the assets that it needs.
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +22,8 @@ from pressleaf.sources import html as dom
 
 #: Pages that one copy of an asset's bytes serves.
 USERS = 10_000
-_LOG = pa.list_(pa.struct([("url", pa.string()), ("status", pa.string())]))
+#: Bytes of a table's rows that a task holds as Python objects at once; a row is never cut.
+SLICE = 2 << 20
 #: Script types that are inlined as text.
 PLAIN_SCRIPTS = (None, "text/javascript", "application/javascript")
 
@@ -81,6 +83,19 @@ def _fallback(url: str) -> str | None:
     return url if url.startswith(("http:", "https:")) else None
 
 
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most SLICE bytes or one row, so that memory doesn't grow with a batch's rows."""
+    for batch in batches:
+        todo = [batch]
+        while todo:
+            piece = todo.pop()
+            if piece.num_rows > 1 and piece.nbytes > SLICE:
+                half = piece.num_rows // 2
+                todo += [piece.slice(half), piece.slice(0, half)]
+            else:
+                yield piece
+
+
 def embed_css(session: Session, document_url: str, text: str, depth: int = 0, above: tuple[str, ...] = ()) -> str:
     def fetch(address: str, imported: bool) -> str | None:
         full = urls.resolve(document_url, address)
@@ -438,7 +453,7 @@ def page_references(pages: DataFrame, options: Options | None = None) -> DataFra
     options = options or Options()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(page, i, key) for page, uses in _uses_of(batch, options) for i, key in enumerate(dict.fromkeys(k for k, _ in uses))]
             kinds = {"page_id": pa.int64(), "seq": pa.int32(), "url_key": pa.string()}
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
@@ -459,13 +474,13 @@ def needed_assets(pages: DataFrame, assets: DataFrame, options: Options | None =
     options = options or Options()
 
     def of_pages(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(page, *x) for page, uses in _uses_of(batch, options) for x in uses]
             kinds = (pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["page_id", "url_key", "use"])
 
     def of_assets(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for key, final, charset, data, use in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 rows += [(key, use, *x) for x in asset_uses(Asset(data or b"", final or key, "", charset or ""), use, options)]
@@ -493,6 +508,19 @@ def needed_assets(pages: DataFrame, assets: DataFrame, options: Options | None =
     return every.select("page_id", "url_key").distinct()
 
 
+def _catalogs(column: pa.ListArray) -> Iterator[dict[str, Asset]]:
+    """Each row's assets by key, read field by field."""
+    rows = zip(*(x.to_pylist() for x in column.flatten().flatten()), strict=True)
+    for n in column.value_lengths().to_pylist():
+        yield {key: Asset(data or b"", final or key, kind or "", charset or "") for key, final, kind, charset, data in islice(rows, n or 0)}
+
+
+def _log_column(logs: list) -> pa.ListArray:
+    starts = pa.array([0, *accumulate(map(len, logs))], pa.int32())
+    parts = [pa.array([x[i] for log in logs for x in log], pa.string()) for i in (0, 1)]
+    return pa.ListArray.from_arrays(starts, pa.StructArray.from_arrays(parts, names=["url", "status"]))
+
+
 def last_assets(assets: DataFrame) -> DataFrame:
     """One row for each url_key: the last one by `seq` (order of arrival), where there is such a column; ties go to the greatest row."""
     order = [F.col("seq")] if "seq" in assets.columns else []
@@ -526,10 +554,9 @@ def bundle(pages: DataFrame, assets: DataFrame | None = None, options: Options |
         source = source.join(lists, F.col("page_id").eqNullSafe(F.col("__page")), "left").drop("__page")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
-            for page, url, html, kind, charset, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                catalog = {a["url_key"]: Asset(a["data"] or b"", a["final_url"] or a["url_key"], a["media_type"] or "", a["charset"] or "") for a in own or ()}
+            for page, url, html, kind, charset, catalog in zip(*(c.to_pylist() for c in batch.columns[:5]), _catalogs(batch.column(5)), strict=True):
                 content = title = error = log = None
                 try:
                     if is_html(kind):
@@ -538,8 +565,9 @@ def bundle(pages: DataFrame, assets: DataFrame | None = None, options: Options |
                         content = html.encode() if isinstance(html, str) else html
                 except Exception as e:  # a broken page must not fail the job
                     error = f"{type(e).__name__}: {e}"
-                rows.append((page, url, title, content, error, [{"url": u, "status": x} for u, x in log or ()]))
-            kinds = {"page_id": pa.int64(), "url": pa.string(), "title": pa.string(), "content": pa.binary(), "error": pa.string(), "log": _LOG}
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
+                rows.append((page, url, title, content, error, log or ()))
+            kinds = {"page_id": pa.int64(), "url": pa.string(), "title": pa.string(), "content": pa.binary(), "error": pa.string()}
+            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())]
+            yield pa.RecordBatch.from_arrays([*columns, _log_column([r[5] for r in rows])], names=[*kinds, "log"])
 
     return source.mapInArrow(run, "page_id bigint, url string, title string, content binary, error string, log array<struct<url:string,status:string>>")

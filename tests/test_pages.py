@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 
 from pressleaf.operators.bundle import Asset, bundle, needed_assets, references, rewrite_page
@@ -121,3 +122,23 @@ def test_nested_assets_of_any_type(spark):
     assert sorted(r["url_key"][-1] for r in needed_assets(pages, assets).collect()) == sorted("abftijkl")
     (row,) = bundle(pages, assets).collect()
     assert row["error"] is None and b"http://x.de/" not in row["content"].partition(b"\n")[2]
+
+
+def test_tasks_hold_slices(spark, monkeypatch):
+    """A batch of many pages is worked through in small pieces, whatever its rows; none is lost, and the order stays."""
+    runs, page = [], spark.createDataFrame([(1, "http://x.de/", "")], "page_id long, url string, html string")
+    monkeypatch.setattr(type(page), "mapInArrow", lambda self, f, *a, **k: runs.append(f) or self)
+    bundle(page)
+    asset = {"url_key": "http://x.de/i.png", "final_url": None, "media_type": "image/png", "charset": None, "data": b"P"}
+    rows = [
+        {"page_id": i, "url": "http://x.de/", "html": f"<img src=i.png><p>{'x' * 20_000}", "media_type": None, "charset": None, "assets": [asset] if i % 2 else None}
+        for i in range(400)
+    ]
+    kinds = {"page_id": pa.int64(), **dict.fromkeys(("url", "html", "media_type", "charset"), pa.string())}
+    assets = pa.list_(pa.struct([(k, pa.binary() if k == "data" else pa.string()) for k in asset]))
+    made = list(runs[0](iter([pa.RecordBatch.from_pylist(rows, pa.schema([*kinds.items(), ("assets", assets)]))])))
+    assert len(made) >= 4 and max(x.nbytes for x in made) < 3 << 20
+    back = [x for batch in made for x in batch.to_pylist()]
+    assert [x["page_id"] for x in back] == list(range(400))
+    assert all((b"base64,UA==" in x["content"]) == bool(x["page_id"] % 2) for x in back)
+    assert [x["log"][0]["status"] for x in back[:2]] == ["not found", "ok"]
