@@ -7,6 +7,7 @@ import binascii
 import ipaddress
 import re
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,8 +17,13 @@ from pressleaf.functions import media
 SPECIAL = {"http": "80", "https": "443", "ftp": "21", "ws": "80", "wss": "443", "file": ""}
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*:")
 _DRIVE = re.compile(r"[A-Za-z][:|]$")
+_CONTROLS = "".join(map(chr, range(33)))
+_BREAKS = re.compile(r"[\t\n\r]")
+_PLACE = re.compile(r"(\[[^\]]*\]|[^:]*)(?::([0-9]*))?")
 #: Characters that are percent-encoded beside controls and what is outside ASCII.
 _PATH, _QUERY, _FRAGMENT, _USER = ' "#<>?`{}', ' "#<>', ' "<>`', ' "#<>?`{}/:;=@[\\]^|'
+#: Texts that are none of these characters in any set.
+_PLAIN = re.compile(r"[A-Za-z0-9._~!$&()*+,%\-]*")
 
 
 @dataclass(frozen=True)
@@ -41,13 +47,14 @@ class Url:
 
 
 def _encode(text: str, extra: str) -> str:
-    if text.isascii() and text.isprintable() and not any(c in text for c in extra):
+    if _PLAIN.fullmatch(text) or text.isascii() and text.isprintable() and not any(c in text for c in extra):
         return text
     return "".join(
         c if " " <= c <= "~" and c not in extra else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in text
     )
 
 
+@lru_cache(1024)
 def _host(text: str) -> str | None:
     if text.startswith("["):
         try:
@@ -85,7 +92,7 @@ def _segments(path: str, base: list[str], file: bool) -> list[str]:
 
 def parse(text: str, base: Url | None = None) -> Url | None:
     """The URL, resolved against a base if it is relative; None if it is none."""
-    text = re.sub(r"[\t\n\r]", "", text.strip("".join(map(chr, range(33)))))
+    text = _BREAKS.sub("", text.strip(_CONTROLS))
     found = _SCHEME.match(text)
     rest, fragment = text, None
     if "#" in rest:
@@ -139,7 +146,7 @@ def _authority(scheme: str, rest: str, fragment: str | None) -> Url | None:
     head, query = _split_query(rest)
     authority, slash, path = head.partition("/")
     user, at, place = authority.rpartition("@")
-    found = re.fullmatch(r"(\[[^\]]*\]|[^:]*)(?::([0-9]*))?", place)
+    found = _PLACE.fullmatch(place)
     host = _host(found[1]) if found else None
     if not host or (found[2] and int(found[2]) > 65535):
         return None
@@ -189,10 +196,16 @@ def _relative(rest: str, base: Url, fragment: str | None) -> Url | None:
 
 def resolve(base: str, ref: str) -> str:
     """ref against base; `data:,` where that gives no URL."""
-    found = parse(ref, parse(base)) if parse(base) else parse(ref)
+    found = parse(ref, _base(base))
     return str(found) if found else "data:,"
 
 
+@lru_cache(64)
+def _base(base: str) -> Url | None:
+    """A page's references have the same few bases."""
+    return parse(base)
+
+
 def clean(url: str) -> str:
     return url.partition("#")[0]
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 from itertools import accumulate, islice
 
 import pyarrow as pa
@@ -70,6 +71,8 @@ class Session:
             self.log.append((url, "not found" if found is None else "domain not allowed"))
             return None
         self.log.append((url, "ok"))
+        if found.media_type and found.final_url:
+            return found
         kind = found.media_type or media.detect(found.data, found.final_url or key)
         return replace(found, media_type=kind, final_url=found.final_url or key)
 
@@ -166,13 +169,13 @@ class _Walk:
         while todo:
             x = todo.pop()
             if x.kind == "element":
-                rule = getattr(self, "on_" + x.name.lower().replace("-", "_"), None)
+                rule = _rule(x.name)
                 if rule:
-                    rule(x)
-                style = x.get("style")
+                    rule(self, x)
+                style = x.get("style") if x.attrs else None
                 if style is not None:
                     x.set("style", None if self.o.no_css else embed_css(self.s, self.url, style))
-                if self.o.no_js:
+                if self.o.no_js and x.attrs:
                     x.attrs = [a for a in x.attrs if not markup.is_event_handler(a[0])]
             if x.name != "template":
                 todo += reversed(x.children)
@@ -351,6 +354,11 @@ class _Walk:
                 c.text = "".join(map(dom.serialize, body.children)) if body else ""
 
 
+@lru_cache(1024)
+def _rule(name: str) -> Callable[[_Walk, dom.Node], None] | None:
+    return getattr(_Walk, "on_" + name.lower().replace("-", "_"), None)
+
+
 def finish(document: dom.Node, options: Options) -> str:
     dom.add_policy(document, markup.policy(options))
     text = dom.serialize(document)
@@ -365,7 +373,8 @@ def rewrite_page(html: str | bytes, url: str | None, lookup: Lookup, options: Op
     return _rewritten(html, url, Session(lookup, options), charset)
 
 
-def _rewritten(html: str | bytes, url: str | None, session: Session, charset: str = "utf-8"):
+def _walked(html: str | bytes, url: str | None, session: Session, charset: str = "utf-8") -> tuple[dom.Node, str]:
+    """The page's tree with everything embedded that it asks the catalog for, and the charset it was read with."""
     options = session.options
     text = media.decode(html, charset) if isinstance(html, bytes) else html
     document = dom.parse(text)
@@ -388,6 +397,12 @@ def _rewritten(html: str | bytes, url: str | None, session: Session, charset: st
         place = urls.resolve(base, "/favicon.ico")
         if got := session.retrieve(target, place):
             dom.add_favicon(document, urls.data_url(got.media_type, got.charset, got.data, got.final_url))
+    return document, charset
+
+
+def _rewritten(html: str | bytes, url: str | None, session: Session, charset: str = "utf-8"):
+    options = session.options
+    document, charset = _walked(html, url, session, charset)
     dom.set_robots(document, "none")
     if options.encoding:
         dom.set_charset(document, options.encoding)
@@ -411,7 +426,7 @@ def page_uses(html: str | bytes, url: str | None, options: Options | None = None
     """Cleaned addresses that the page asks the catalog for and what as, each pair once, in order."""
     session = Session(_nothing, options or Options())
     with contextlib.suppress(Exception):  # what a broken page asks for up to there; its error is told where it is rewritten
-        _rewritten(html, url, session, charset or "utf-8")
+        _walked(html, url, session, charset or "utf-8")
     return list(session.uses)
 
 

@@ -1,6 +1,7 @@
 import pyarrow as pa
 import pytest
 
+from pressleaf.functions import urls
 from pressleaf.operators.bundle import Asset, bundle, needed_assets, references, rewrite_page
 from pressleaf.options import Options
 from pressleaf.sources import cookies, html
@@ -142,3 +143,13 @@ def test_tasks_hold_slices(spark, monkeypatch):
     assert [x["page_id"] for x in back] == list(range(400))
     assert all((b"base64,UA==" in x["content"]) == bool(x["page_id"] % 2) for x in back)
     assert [x["log"][0]["status"] for x in back[:2]] == ["not found", "ok"]
+
+
+def test_references_do_no_other_work(monkeypatch):
+    """What a page refers to is listed without writing it, and a base is parsed once, not once for each link."""
+    parsed, parse = [], urls.parse
+    monkeypatch.setattr(urls, "parse", lambda *a: parsed.append(a) or parse(*a))
+    monkeypatch.setattr(html, "serialize", lambda node: pytest.fail("written"))
+    page = "".join(f'<a href="/{i}">x</a>' for i in range(100))
+    assert references(f"<img src=i.png>{page}", "http://once.example/p/") == ["http://once.example/p/i.png", "http://once.example/favicon.ico"]
+    assert len(parsed) < 220  # a link's own address, once to see whether it is whole and once against the base
